@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "webp")
+IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")
 WATCHED_IMAGE_EXTENSIONS = ("jpg", "png", "jpeg")
 LIBRARY_VIDEO_EXTENSIONS = ("mp4", "mkv", "avi", "mov", "webm")
 IMPORT_VIDEO_EXTENSIONS = ("mp4", "avi", "mov", "mkv", "wmv")
