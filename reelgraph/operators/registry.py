@@ -79,7 +79,7 @@ def indexed_labels(files: DataFrame, videos: DataFrame, upload_dir: str = "uploa
 
     A file counts as indexed under its destination path, its .mp4 twin or its own path.
     """
-    rows = first_per_key(videos.select("path", "label", "id"), "path", F.col("id").desc()).select("path", "label")
+    rows = first_per_key(videos.select("path", "label", "id"), "path", -F.col("id")).select("path", "label")
     destination = F.concat(F.lit(upload_dir + "/"), basename(F.col("path")))
     twin = F.concat(F.lit(upload_dir + "/"), stem(F.col("path")), F.lit(".mp4"))
     keyed = files.withColumns({"_k1": destination, "_k2": twin, "_k3": F.col("path")})
