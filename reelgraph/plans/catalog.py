@@ -27,8 +27,8 @@ def query(name: str, covers: str, sql: str | None = None, using: str = ""):
     def add(fn: Callable[[Tables], DataFrame]):
         text = None
         if sql is not None:
-            recursive = "RECURSIVE " if "UNION ALL /* step */" in sql else ""
             body = sql.strip()
+            recursive = "RECURSIVE " if "/* step */" in sql else ""
             heads = [f"{t} AS ({SQL[t]})" for t in using.split()]
             if body.upper().startswith("WITH "):
                 heads.append(body[5:])

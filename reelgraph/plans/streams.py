@@ -1 +1,152 @@
-"""TODO"""
+"""Streams over the sample tables and encoders run on their texts."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from reelgraph.functions.text import expand_queries
+from reelgraph.plans import people
+from reelgraph.plans.catalog import query
+from reelgraph.plans.columns import part_queries
+from reelgraph.plans.libraries import _RATES
+from reelgraph.plans.people import LINK_SQL
+from reelgraph.session import checkpoint_dir
+from reelgraph.sources import encoders as EN
+from reelgraph.streaming import ingest as N
+
+LETTERS = "aeinrst"
+
+
+def letter_counts():
+    """Stand-in encoder: how often each of a few letters occurs."""
+
+    def encode(inputs: list) -> list:
+        return [[float(text.count(c)) for c in LETTERS] for text in inputs]
+
+    return encode
+
+
+def scratch(t) -> str:
+    """A new folder next to the checkpoints, which every executor can reach."""
+    return f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4()}"
+
+
+def stream(t, name: str) -> DataFrame:
+    """One sample table as a file stream."""
+    reader = t.spark.readStream.schema(t.read(name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(t.sf_dir)
+
+
+def _letters(column: str) -> str:
+    counts = ", ".join(f"len({column}) - len(replace({column}, '{c}', ''))" for c in LETTERS)
+    return f"[{counts}]::DOUBLE[]"
+
+
+@query("encoded_texts", "A11 J1", f"""
+    WITH v AS (SELECT doc_id, {_letters('text')} AS v FROM documents)
+    SELECT doc_id, unnest(list_transform(v, lambda x: round((x / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE, 6))) AS x,
+           generate_subscripts(v, 1)::BIGINT AS pos FROM v""")
+def _(t):
+    vectors = EN.valid_vectors(EN.embed(t.read("documents"), "doc_id", "text", letter_counts, batch_size=16))
+    rows = vectors.select("doc_id", F.posexplode("embedding").alias("p", "v"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.round(F.col("v").cast("double"), 6).alias("x"))
+
+
+@query("encoded_prompts", "A12 B5 B4", None)
+def _(t):
+    encoded = EN.embed_prompts(expand_queries(part_queries(t)), letter_counts)
+    return EN.query_vectors(encoded).select("query_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@query("caption_queries", "B6 A12", f"""
+    WITH q AS (SELECT p_partkey AS query_id, p_name AS text FROM part),
+    v AS (SELECT query_id, {_letters('text')} AS v FROM q UNION ALL
+          SELECT query_id, {_letters("('a photo of ' || text)")} FROM q),
+    u AS (SELECT query_id, list_transform(v, lambda x: (x / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE) AS u FROM v),
+    s AS (SELECT query_id, [sum(u[1]), sum(u[2]), sum(u[3]), sum(u[4]), sum(u[5]), sum(u[6]), sum(u[7])] AS s FROM u GROUP BY query_id)
+    SELECT query_id, round(s[1] / (sqrt(list_dot_product(s, s)) + 1e-9), 6) AS first FROM s""")
+def _(t):
+    queries = t.read("part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    vectors = EN.caption_query_vectors(queries, letter_counts)
+    return vectors.select("query_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
+
+
+@query("streamed_throughput", "I4 E12", _RATES + " SELECT job, round(rate, 6) AS rate, n FROM a")
+def _(t):
+    rows = stream(t, "events").select(
+        F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("items"), F.col("value").alias("seconds")
+    )
+    out = scratch(t)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rates/batch={batch_id}")
+
+    N.drain_query(N.moving_average(rows), keep, f"{out}/state", "update")
+    updates = t.spark.read.parquet(f"{out}/rates")
+    latest = updates.groupBy("job").agg(F.max_by(F.struct("rate", "n"), "batch").alias("s"))
+    return latest.select("job", F.round("s.rate", 6).alias("rate"), "s.n")
+
+
+@query("drained_queue", "I3", """
+    SELECT doc_id, lang FROM documents""")
+def _(t):
+    out = scratch(t)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.select("doc_id", "lang").write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+
+    N.drain(stream(t, "documents"), each, lambda: None, f"{out}/state")
+    return t.spark.read.parquet(f"{out}/rows").select("doc_id", "lang")
+
+
+@query("streamed_links", "I5 F8", f"WITH {LINK_SQL} SELECT id, video_id, person_id FROM once WHERE r = 1", "vectors")
+def _(t):
+    out = scratch(t)
+    known = people.faces(t).filter("person_id < 5")
+
+    def write(linked: DataFrame, new_persons: DataFrame, batch_id: int) -> None:
+        linked.select(F.col("det_id").alias("id"), "video_id", "person_id").write.mode("overwrite").parquet(
+            f"{out}/links/batch={batch_id}"
+        )
+
+    live = type(t)(t.spark, t.sf_dir)
+    live.vectors = stream(t, "embeddings").select(F.col("vec_id").alias("seq"), "embedding", "label")
+    N.drain(people.detections(live), N.link_batch(lambda: known, write, lambda: 100), lambda: None, f"{out}/state")
+    return t.spark.read.parquet(f"{out}/links").select("id", "video_id", "person_id")
+
+
+@query("streamed_vectors", "I1 I2 A11", f"""
+    WITH v AS (SELECT page_id, {_letters('html')} AS v FROM pages)
+    SELECT page_id, round((v[1] / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE, 6) AS first FROM v""")
+def _(t):
+    out = scratch(t)
+    vectors = EN.valid_vectors(EN.embed(stream(t, "pages"), "page_id", "html", letter_counts))
+    N.index_until_quiet(lambda: N.append_vectors(vectors, f"{out}/vectors", f"{out}/state"))
+    stored = t.spark.read.parquet(f"{out}/vectors")
+    return stored.select("page_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+@query("remembered_empty", "I6", """
+    SELECT o_orderkey AS path, o_custkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS size FROM orders
+    WHERE o_orderstatus <> 'F' AND o_orderpriority IN ('1-URGENT', '5-LOW')""")
+def _(t):
+    orders = t.read("orders").select(
+        F.col("o_orderkey").alias("path"), F.lit(0).alias("mtime_ns"), F.col("o_custkey").alias("size"), "o_orderstatus", "o_orderpriority"
+    )
+    cache = orders.filter("o_orderpriority = '5-LOW' or o_orderstatus = 'F'").select("path", "mtime_ns", "size")
+    live = orders.filter("o_orderpriority <> '3-MEDIUM'")
+    indexed = orders.filter("o_orderstatus = 'F'")
+    found = orders.filter("o_orderpriority = '1-URGENT' and o_orderstatus <> 'F'").withColumn("size", F.col("size") + 1)
+    return N.remember_empty(cache, live, indexed, found).select("path", "size")
+
+
+@query("seeded_empty", "I6", """
+    SELECT seq AS path, seq * 2 AS size FROM vectors WHERE seq NOT IN (SELECT doc_id FROM labels)""", "vectors")
+def _(t):
+    semantic = t.vectors.select(F.col("seq").alias("path"))
+    face = t.read("labels").select(F.col("doc_id").alias("path"))
+    signatures = t.vectors.select(F.col("seq").alias("path"), F.lit(0).alias("mtime_ns"), (F.col("seq") * 2).alias("size"))
+    return N.seed_empty(semantic, face, signatures).select("path", "size")

@@ -28,11 +28,8 @@ def watch_images(spark: SparkSession, folder: str, *, max_files: int | None = No
     return reader.load(folder).filter(has_extension(F.col("path"), WATCHED_IMAGE_EXTENSIONS))
 
 
-def index_new_images(
-    images: DataFrame, factory: Callable[[], Encoder], table: str, checkpoint: str
-) -> StreamingQuery:
-    """Embed each new image and append its vector; one run takes what is there and stops."""
-    vectors = valid_vectors(embed_photos(images, factory))
+def append_vectors(vectors: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream of vectors to a parquet table; one run takes what is there and stops."""
     return (
         vectors.writeStream.format("parquet")
         .option("path", table)
@@ -43,6 +40,11 @@ def index_new_images(
     )
 
 
+def index_new_images(images: DataFrame, factory: Callable[[], Encoder], table: str, checkpoint: str) -> StreamingQuery:
+    """Embed each new image and append its vector."""
+    return append_vectors(valid_vectors(embed_photos(images, factory)), table, checkpoint)
+
+
 def rows_read(query: StreamingQuery) -> int:
     return sum(p["numInputRows"] for p in query.recentProgress)
 
@@ -57,19 +59,31 @@ def index_until_quiet(start: Callable[[], StreamingQuery], max_passes: int = MAX
     return max_passes
 
 
-def drain(
-    source: DataFrame, each: Callable[[DataFrame, int], None], finish: Callable[[], None], checkpoint: str
-) -> int:
-    """Handle all waiting batches with ``each``, then call ``finish`` once. Returns the number of rows handled.
+def drain_query(
+    source: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
+    """Hand all waiting batches to ``each`` and wait for the end.
 
-    A batch may be repeated after a failure: ``each`` should write by batch id (overwrite a partition, or merge).
+    A batch may be repeated after a failure: ``each`` should write by batch id (overwrite a folder, or merge).
     """
     query = (
-        source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        source.writeStream.foreachBatch(each)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
     query.awaitTermination()
+    return query
+
+
+def drain(
+    source: DataFrame, each: Callable[[DataFrame, int], None], finish: Callable[[], None], checkpoint: str
+) -> int:
+    """Handle all waiting batches, then call ``finish`` once. Returns the number of rows handled."""
+    rows = rows_read(drain_query(source, each, checkpoint))
     finish()
-    return rows_read(query)
+    return rows
 
 
 # ---------------------------------------------------------------- keyed state
