@@ -71,7 +71,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "seq"
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def average_linkage(
     active = cut(start)
     if max_clusters is not None and active.count() > max_clusters:
         return same
-    mapping = cut(same)
+    mapping, waiting = cut(same), []
     for _ in range(MAX_ROUNDS):
         means = active.select("_id", F.transform("_v", lambda x: x / F.col("_n")).alias("_v"))
         near = nearest_partner(
@@ -282,7 +282,7 @@ def average_linkage(
         back = near.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
         merges = cut(near.join(back, ["id", "partner"]).filter("id < partner").toDF("keep", "gone"))
         if merges.isEmpty():
-            return mapping
+            return _follow(mapping, waiting, id_col)
         gone = active.select(F.col("_id").alias("gone"), F.col("_v").alias("_w"), F.col("_n").alias("_m"))
         grown = (
             active.join(near.select(F.col("id").alias("_id")), "_id", "left_semi")
@@ -296,14 +296,21 @@ def average_linkage(
                 (F.col("_n") + F.coalesce("_m", F.lit(0.0))).alias("_n"),
             )
         )
-        mapping = cut(
-            mapping.join(merges, F.col("merged") == F.col("gone"), "left").select(
-                id_col, F.coalesce("keep", "merged").alias("merged")
-            )
-        )
+        waiting.append(merges)
+        if len(waiting) == 8:
+            mapping, waiting = cut(_follow(mapping, waiting, id_col)), []
     raise RuntimeError("merge rounds exhausted")
 
 
+def _follow(mapping: DataFrame, merges: list[DataFrame], id_col: str) -> DataFrame:
+    """``mapping`` after some rounds of merges, oldest first."""
+    for step in merges:
+        mapping = mapping.join(step, F.col("merged") == F.col("gone"), "left").select(
+            id_col, F.coalesce("keep", "merged").alias("merged")
+        )
+    return mapping
+
+
 # ---------------------------------------------------------------- two-stage clustering
 
 
