@@ -264,13 +264,22 @@ def average_linkage(
     round gives the same tree as one merge at a time (Murtagh, 1983), and a cluster whose best partner is not above
     the threshold never gets one and leaves the work.
     """
-    start = df.select(F.col(id_col).cast("long").alias("_id"), l2_normalize(vec).alias("_v"), F.lit(1.0).alias("_n"))
-    same = start.select(F.col("_id").alias(id_col), F.col("_id").alias("merged"))
-    if threshold is None:
-        return same
-    active = cut(start)
-    if max_clusters is not None and active.count() > max_clusters:
+    unit = df.select(F.col(id_col).cast("long").alias("_id"), l2_normalize(vec).alias("_v"))
+    same = unit.select(F.col("_id").alias(id_col), F.col("_id").alias("merged"))
+    if threshold is None or (max_clusters is not None and unit.count() > max_clusters):
         return same
+    # Exact copies are merged first in any order, so they start as one cluster and cost no rounds.
+    unit = cut(unit)
+    copies = cut(unit.filter(F.exists("_v", lambda x: x != 0)).groupBy("_v").agg(
+        F.min("_id").alias("_keep"), F.count(F.lit(1)).cast("double").alias("_n")
+    ))
+    alone = unit.filter(~F.exists("_v", lambda x: x != 0)).select("_id", "_v", F.lit(1.0).alias("_n"))
+    active = cut(copies.select(
+        F.col("_keep").alias("_id"), F.transform("_v", lambda x: x * F.col("_n")).alias("_v"), "_n"
+    ).unionByName(alone))
+    same = unit.join(copies, "_v", "left").select(
+        F.col("_id").alias(id_col), F.coalesce("_keep", "_id").alias("merged")
+    )
     mapping, waiting = cut(same), []
     for _ in range(MAX_ROUNDS):
         means = active.select("_id", F.transform("_v", lambda x: x / F.col("_n")).alias("_v"))

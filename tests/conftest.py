@@ -10,6 +10,6 @@ from reelgraph.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, "tests")
+    session = local_session(8, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.default.parallelism": "4"})
     yield session
     session.stop()

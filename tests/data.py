@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def unit(rows):
@@ -22,14 +23,15 @@ def clustered(seed: int, n: int, dim: int = 8, centres: int = 6, noise: float =
 
 
 def frame(spark, rows, **columns):
-    names = ["seq", "embedding", *columns]
-    data = [
-        (i, [float(x) for x in row], *[c[i] if c[i] is None else (int(c[i]) if not isinstance(c[i], str) else c[i]) for c in columns.values()])
-        for i, row in enumerate(rows)
-    ]
-    kinds = {k: "string" if any(isinstance(x, str) for x in c) else "long" for k, c in columns.items()}
-    schema = "seq long, embedding array<float>" + "".join(f", {k} {t}" for k, t in kinds.items())
-    return spark.createDataFrame(data, schema).select(*names)
+    """Cached table of (seq, embedding, ...) in two partitions."""
+    arrays = {
+        "seq": pa.array(range(len(rows)), pa.int64()),
+        "embedding": pa.array([[float(x) for x in row] for row in rows], pa.list_(pa.float32())),
+    }
+    for name, values in columns.items():
+        kind = pa.string() if any(isinstance(v, str) for v in values) else pa.int64()
+        arrays[name] = pa.array(list(values), kind)
+    return spark.createDataFrame(pa.table(arrays)).coalesce(2).cache()
 
 
 def leaders(rows, threshold, strict=False):

@@ -36,7 +36,7 @@ def test_small_clusters_are_noise_and_empty_stays_empty(spark):
     assert C.similarity_components(rows.filter("seq < 0")).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_pairs_and_components_equal_brute_force(spark, seed):
     rows = D.clustered(seed, 90, copies=45)  # a third of the rows are exact copies
     df = D.frame(spark, rows)
@@ -63,7 +63,7 @@ def test_long_chain_is_one_component(spark):
     assert set(labels(C.connected_components(df, edges), "component")) == {0}
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_leaders_equal_sequential_pass(spark, seed):
     rows = D.clustered(seed, 150, noise=0.9, copies=70)
     rows[7] = 0  # a zero vector leads itself
@@ -87,7 +87,7 @@ def test_grouped_leaders_with_a_hot_and_a_null_group(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seed", range(2))
 def test_average_linkage_equals_one_merge_at_a_time(spark, seed):
     rows = D.clustered(seed, 60, noise=1.0)
     want = D.average_linkage(rows, 0.3)
@@ -97,7 +97,7 @@ def test_average_linkage_equals_one_merge_at_a_time(spark, seed):
         assert D.same_partition([want[i] for i in sorted(got)], [got[i] for i in sorted(got)])
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_two_stages_equal_sequential(spark, seed):
     rows = D.unit(D.clustered(seed, 80, noise=1.0))
     lead = D.leaders(rows, 0.7)
