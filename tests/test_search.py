@@ -94,10 +94,10 @@ def test_target_ranks(spark, limit):
 def test_column_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "v array<float>, z array<float>")
     row = df.select(
-        V.l2_normalize("v").alias("v"), V.l2_normalize("z").alias("z"), V.l2_normalize("z", eps=1e-6).alias("e"),
+        V.l2_normalize("v").alias("n"), V.l2_normalize("z").alias("nz"), V.l2_normalize("z", eps=1e-6).alias("e"),
         V.cosine("v", "z").alias("c"), V.histogram_correlation("z", "z").alias("h"), V.softmax("v").alias("s"),
     ).first()
-    assert row.v == pytest.approx([0.6, 0.8]) and row.z == [0, 0] and row.e == [0, 0]
+    assert row.n == pytest.approx([0.6, 0.8]) and row.nz == [0, 0] and row.e == [0, 0]
     assert row.c == 0 and row.h == 1.0
     assert row.s == pytest.approx([1 / (1 + np.e), np.e / (1 + np.e)])
 
