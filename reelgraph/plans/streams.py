@@ -15,6 +15,7 @@ from reelgraph.plans.libraries import _RATES
 from reelgraph.plans.people import LINK_SQL
 from reelgraph.session import checkpoint_dir
 from reelgraph.sources import encoders as EN
+from reelgraph.sources import vector_table as VT
 from reelgraph.streaming import ingest as N
 
 LETTERS = "aeinrst"
@@ -150,3 +151,34 @@ def _(t):
     face = t.read("labels").select(F.col("doc_id").alias("path"))
     signatures = t.vectors.select(F.col("seq").alias("path"), F.lit(0).alias("mtime_ns"), (F.col("seq") * 2).alias("size"))
     return N.seed_empty(semantic, face, signatures).select("path", "size")
+
+
+@query("manifest_round_trip", "A7", "SELECT path, seq FROM vectors", "vectors")
+def _(t):
+    out = scratch(t)
+    VT.write_manifest(t.vectors, f"{out}/manifest")
+    return VT.read_manifest(t.spark, f"{out}/manifest").select("path", "seq")
+
+
+def readable_letter_counts():
+    """Stand-in encoder that cannot read texts with a digit."""
+    count = letter_counts()
+
+    def encode(inputs: list) -> list:
+        readable = [not any(c in "0123456789" for c in text) for text in inputs]
+        return [v if ok else None for v, ok in zip(count(inputs), readable, strict=True)]
+
+    return encode
+
+
+@query("rebuilt_semantic_index", "H17 A5 A6 A11", f"""
+    WITH v AS (SELECT doc_id, {_letters('text')} AS v FROM documents WHERE NOT regexp_matches(text, '[0-9]'))
+    SELECT 'doc_' || doc_id AS path, doc_id AS seq, 'letters-1' AS model_id, v[1] > 0 AS has_first FROM v WHERE list_sum(v) > 0""")
+def _(t):
+    out = scratch(t)
+    manifest = t.read("documents").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("path"), F.col("doc_id").alias("seq"), "text")
+    found = EN.valid_vectors(EN.embed(manifest, "path", "text", readable_letter_counts))
+    nonzero = found.filter(F.exists("embedding", lambda x: x > 0)).join(manifest.select("path", "seq"), "path")
+    VT.write_vectors(nonzero, f"{out}/vectors", "semantic", "letters-1", mode="overwrite")
+    stored = VT.read_vectors(t.spark, f"{out}/vectors", "semantic", "letters-1")
+    return stored.select("path", "seq", "model_id", (F.element_at("embedding", 1) > 0).alias("has_first"))
