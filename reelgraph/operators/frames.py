@@ -74,10 +74,15 @@ def pack_video_frames(frames: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sampling
 
 
-def sampled_frames(frames: DataFrame, count: int = SAMPLED_FRAMES, *, total: str = "total_frames") -> DataFrame:
-    """The frames at ``count`` even positions of each video; ``total`` is the frame count on the row."""
-    chosen = sample_indices(F.col(total).cast("int"), F.lit(count))
-    return frames.filter(F.array_contains(chosen, F.col("frame_idx").cast("int")))
+def sampled_frames(
+    frames: DataFrame, count: int = SAMPLED_FRAMES, *, total: str = "total_frames", keep: Column | None = None
+) -> DataFrame:
+    """The frames at ``count`` even positions of each video; ``total`` is the frame count on the row.
+
+    Rows that meet ``keep`` stay in any case.
+    """
+    chosen = F.array_contains(sample_indices(F.col(total).cast("int"), F.lit(count)), F.col("frame_idx").cast("int"))
+    return frames.filter(chosen if keep is None else keep | chosen)
 
 
 def evenly_picked(frames: DataFrame, count: Column, *, total: str = "total_frames") -> DataFrame:
@@ -94,8 +99,12 @@ def keyframes(frames: DataFrame, *, hist: str = "hist") -> DataFrame:
 
     In time order a frame stays when its histogram correlates below 0.95 with the last kept one. If fewer than four
     stay, the frames least correlated with any kept one fill up, ordered once. Videos of up to four frames keep all.
-    Input is the sampled frames, at most 14 per video, so the per-video list is bounded.
+    A video with more than 14 frames (numbered from 0) is first sampled at 14 even positions, which bounds the list
+    each video is folded over.
     """
+    sizes = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
+    few = F.col("_n") <= SAMPLED_FRAMES
+    frames = sampled_frames(frames.join(sizes, "video_id"), keep=few, total="_n")
     entry = F.struct(F.col("frame_idx").alias("i"), as_double(hist).alias("h"))
     videos = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(entry)).alias("f"))
     first = F.array(F.element_at("f", 1))

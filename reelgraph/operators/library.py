@@ -19,6 +19,7 @@ from reelgraph.operators.ranking import with_row_number
 TOP_TAGS = 14
 MAX_EXPORT = 25
 COLUMNS = 5
+DEEP_PAGE = 100_000
 
 
 def first_per_key(df: DataFrame, key: Column | str, *order: Column | str) -> DataFrame:
@@ -98,13 +99,20 @@ def grid_rows(media: DataFrame, columns: int = COLUMNS, *, date: str = "date", o
     )
 
 
-def page(df: DataFrame, offset: int, limit: int, *order: Column | str) -> DataFrame:
-    """One page of an ordered list; the total is a separate ``count``."""
-    return df.orderBy(*order).offset(offset).limit(limit)
+def page(df: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
+    """One page of an ordered list (end the order on a unique key); the total is a separate ``count``.
+
+    The first pages are a top-k. Far into the list that would bring everything before the page to one task, so the
+    page is cut by position instead.
+    """
+    if offset + limit <= DEEP_PAGE:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    placed = with_row_number(df, *order, name="_rn").filter(F.col("_rn").between(offset + 1, offset + limit))
+    return placed.drop("_rn").orderBy(*order)
 
 
 def nth_by_id(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:
-    return df.orderBy(id_col).offset(n).limit(1)
+    return page(df, n, 1, id_col)
 
 
 def select_range(items: DataFrame, start_id, end_id, *, id_col: str = "id", order: str = "seq") -> DataFrame:
@@ -166,7 +174,8 @@ def live_person_photos(person_photos: DataFrame, live: DataFrame, person_id: str
 
 def people_page(photo_people: DataFrame, video_people: DataFrame, page_no: int, page_size: int) -> DataFrame:
     """One page of the people list: photo people are paged, video people come once, on the first page."""
-    photos = photo_people.orderBy(F.col("photo_count").desc(), "person_id").offset(page_no * page_size).limit(page_size)
+    ordered = photo_people.withColumn("_fewer", -F.col("photo_count"))
+    photos = page(ordered, page_no * page_size, page_size, "_fewer", "person_id")
     photos = photos.select(
         prefixed_id("photo", F.col("person_id")).alias("id"), F.lit("photo").alias("source"), "name",
         F.col("photo_count").cast("long").alias("n"),

@@ -53,6 +53,25 @@ def throughput_average(observations: DataFrame, key: str = "job") -> DataFrame:
     )
 
 
+def fold_averages(state: DataFrame, observations: DataFrame, key: str = "job") -> DataFrame:
+    """New (key, rate, n) state after a batch of observations.
+
+    k more observations turn an average r into ``0.7**k * r`` plus their weighted sum, so old state and new rows meet
+    in one join of one row per key, whatever the size of a key.
+    """
+    new = throughput_average(observations, key).withColumnsRenamed({"rate": "_rate", "n": "_k"})
+    # A key with state has no first observation in the batch: that one weighs 0.3 like the others.
+    valid = observations.filter((F.col("items") > 0) & (F.col("seconds") > 0))
+    first = valid.groupBy(key).agg(F.min_by(F.col("items") / F.col("seconds"), "seq").alias("_first"))
+    both = state.join(new.join(first, key), key, "full_outer")
+    excess = (F.lit(1.0) - NEW) * F.pow(F.lit(KEEP), F.col("_k") - 1) * F.col("_first")
+    folded = F.pow(F.lit(KEEP), F.col("_k")) * F.col("rate") + F.col("_rate") - excess
+    return both.select(
+        key, F.coalesce(folded, "_rate", "rate").alias("rate"),
+        (F.coalesce("n", F.lit(0)) + F.coalesce("_k", F.lit(0))).alias("n"),
+    )
+
+
 def images_per_second(observed: DataFrame, default: float = 4.0, key: str = "job") -> DataFrame:
     """The observed rate once there are three observations, else the default."""
     return observed.select(key, F.when(F.col("n") >= MIN_OBSERVATIONS, F.col("rate")).otherwise(F.lit(default)).alias("rate"))

@@ -32,9 +32,20 @@ def face_gallery(faces: DataFrame, videos: DataFrame) -> DataFrame:
     )
 
 
-def nested_gallery(faces: DataFrame, videos: DataFrame) -> DataFrame:
-    """The gallery as one list of structs per person; for libraries whose people have bounded numbers of faces."""
-    return face_gallery(faces, videos).groupBy("person_id").agg(
+def nested_gallery(faces: DataFrame, videos: DataFrame, chunk: int = 1000) -> DataFrame:
+    """(person_id, chunk, faces): the gallery as lists of structs, each of at most ``chunk`` faces of one person.
+
+    Faces are numbered over the whole table, so a person with a third of all faces is many short lists.
+    """
+    clips = videos.select(F.col("id").alias("video_id"), basename(F.col("path")).alias("video"))
+    rows = faces.join(clips, "video_id").select(
+        F.coalesce(F.col("person_id").cast("string"), F.lit("None")).alias("person_id"), "id",
+        F.col("thumbnail_path").alias("thumbnail"), "confidence", "video",
+    )
+    placed = with_row_number(rows, "person_id", "id", name="_rn")
+    starts = placed.groupBy("person_id").agg(F.min("_rn").alias("_first"))
+    part = F.floor((F.col("_rn") - F.col("_first")) / chunk).cast("long")
+    return placed.join(starts, "person_id").groupBy("person_id", part.alias("chunk")).agg(
         F.collect_list(F.struct("thumbnail", "confidence", "video")).alias("faces")
     )
 

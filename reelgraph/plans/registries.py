@@ -23,12 +23,13 @@ def _(t):
 
 
 @query("nested_face_gallery", "D13", """
-    SELECT f.person_id::VARCHAR AS person_id, count(*) AS entries, count(DISTINCT v.path) AS clips
-    FROM faces f JOIN videos v ON v.id = f.video_id GROUP BY 1""", "faces videos")
+    WITH g AS (SELECT coalesce(f.person_id::VARCHAR, 'None') AS person_id, f.id, f.confidence FROM faces f JOIN videos v ON v.id = f.video_id),
+    c AS (SELECT *, (row_number() OVER (PARTITION BY person_id ORDER BY id) - 1) // 100 AS chunk FROM g)
+    SELECT person_id, chunk, count(*) AS entries, round(sum(confidence), 6) AS confidence FROM c GROUP BY person_id, chunk""", "faces videos")
 def _(t):
-    nested = R.nested_gallery(t.faces, t.videos)
-    clips = F.size(F.array_distinct(F.col("faces.video"))).cast("long")
-    return nested.select("person_id", F.size("faces").cast("long").alias("entries"), clips.alias("clips"))
+    nested = R.nested_gallery(t.faces, t.videos, chunk=100)
+    total = F.aggregate(F.col("faces.confidence"), F.lit(0.0), lambda a, x: a + x)
+    return nested.select("person_id", "chunk", F.size("faces").cast("long").alias("entries"), F.round(total, 6).alias("confidence"))
 
 
 @query("persons_with_faces", "C8", """

@@ -91,6 +91,16 @@ def _(t):
     return latest.select("job", F.round("s.rate", 6).alias("rate"), "s.n")
 
 
+@query("folded_throughput", "I4 E12", _RATES + " SELECT job, round(rate, 6) AS rate, n FROM a")
+def _(t):
+    rows = stream(t, "events").select(
+        F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("items"), F.col("value").alias("seconds")
+    )
+    out = scratch(t)
+    state = N.folded_average(rows, f"{out}/rates", f"{out}/state")
+    return state.select("job", F.round("rate", 6).alias("rate"), "n")
+
+
 @query("drained_queue", "I3", """
     SELECT doc_id, lang FROM documents""")
 def _(t):

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from reelgraph.functions.media import WATCHED_IMAGE_EXTENSIONS, has_extension
 from reelgraph.operators.identity import link_faces
 from reelgraph.operators.library import cached_live_unindexed
-from reelgraph.operators.progress import average_step
+from reelgraph.operators.progress import average_step, fold_averages
 from reelgraph.schemas import FILES
 from reelgraph.sources.encoders import Encoder, embed_photos, valid_vectors
 
@@ -92,7 +92,8 @@ def drain(
 def moving_average(stream: DataFrame, key: str = "job") -> DataFrame:
     """(key, rate, n) after each batch: state is the average and the number of observations.
 
-    ``stream`` is (key, seq, items, seconds). Observations of one batch are folded in ``seq`` order.
+    ``stream`` is (key, seq, items, seconds). Observations of one batch are folded in ``seq`` order; those of one key
+    must fit a task. ``folded_average`` has no such bound.
     """
     valid = stream.filter((F.col("items") > 0) & (F.col("seconds") > 0))
     key_type = stream.schema[key].dataType.simpleString()
@@ -109,6 +110,27 @@ def moving_average(stream: DataFrame, key: str = "job") -> DataFrame:
     )
 
 
+def folded_average(stream: DataFrame, table: str, checkpoint: str, key: str = "job") -> DataFrame:
+    """Run the waiting batches of ``stream`` into a state table with one partition per batch; returns the last state.
+
+    A batch reads the state of the batch before it and overwrites its own, so a repeated batch gives the same state.
+    """
+    spark = stream.sparkSession
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, rate double, n long"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{table}/batch=-1")
+
+    def states() -> DataFrame:
+        return spark.read.schema(schema + ", batch long").parquet(table)
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        before = states().filter(F.col("batch") == batch_id - 1).drop("batch")
+        fold_averages(before, batch, key).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    drain_query(stream, each, checkpoint)
+    last = states().agg(F.max("batch")).scalar()
+    return states().filter(F.col("batch") == F.coalesce(last, F.lit(-1))).drop("batch")
+
+
 # ---------------------------------------------------------------- tables kept across passes
 
 

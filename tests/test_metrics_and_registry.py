@@ -96,6 +96,36 @@ def test_throughput_fixture(spark):
     assert got["a"] == pytest.approx(4.5) and got["b"] == 2.7
 
 
+def test_folded_averages_equal_one_pass(spark):
+    schema = "job string, seq long, items long, seconds double"
+    rows = [("a" if i % 3 else "b", i, i % 4, 2.0 + i % 5) for i in range(40)] + [("c", 40, 2, 1.0)]
+    whole = P.throughput_average(spark.createDataFrame(rows, schema))
+    state = P.throughput_average(spark.createDataFrame(rows[:13], schema))
+    for part in (rows[13:14], rows[14:30], rows[30:]):
+        state = P.fold_averages(state, spark.createDataFrame(part, schema))
+    want = {r.job: (r.rate, r.n) for r in whole.collect()}
+    got = {r.job: (r.rate, r.n) for r in state.collect()}
+    assert set(got) == set(want)
+    assert all(got[k][0] == pytest.approx(want[k][0]) and got[k][1] == want[k][1] for k in want)
+
+
+def test_deep_page_equals_first_pages(spark, monkeypatch):
+    df = spark.range(200).select(((F.col("id") * 17) % 200).alias("id"))
+    near = [r.id for r in L.page(df, 30, 7, "id").collect()]
+    monkeypatch.setattr(L, "DEEP_PAGE", 0)
+    assert [r.id for r in L.page(df, 30, 7, "id").collect()] == near == list(range(30, 37))
+    assert L.nth_by_id(df, 5).first().id == 5
+
+
+def test_long_video_is_sampled_before_keyframes(spark):
+    from reelgraph.operators.frames import keyframes
+
+    rows = [(1, i, [float((i * i + j * 7) % 11) for j in range(16)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "video_id long, frame_idx int, hist array<double>")
+    kept = [r.frame_idx for r in keyframes(df).collect()]
+    assert set(kept) <= set(np.linspace(0, 299, 14).astype(int).tolist()) and 4 <= len(kept) <= 14
+
+
 def test_registry_settings_and_errors(spark):
     meta = spark.createDataFrame([("a", "1")], "key string, value string")
     vectors = spark.createDataFrame([("p", 0)], "path string, seq long")

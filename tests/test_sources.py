@@ -107,6 +107,22 @@ def test_moving_average_stream_keeps_state(spark, tmp_path):
     assert got["a"] == (pytest.approx(0.7 * (0.7 * 2.7 + 0.3 * 4.5) + 0.3 * 4.5), 3) and got["b"][1] == 1
 
 
+def test_folded_average_keeps_state_between_runs(spark, tmp_path):
+    src = str(tmp_path / "src")
+    schema = "job string, seq long, items long, seconds double"
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src)
+        state = N.folded_average(stream, str(tmp_path / "state"), str(tmp_path / "ck"))
+        return {r.job: (r.rate, r.n) for r in state.collect()}
+
+    spark.createDataFrame([("a", 0, 27, 10.0)], schema).write.parquet(f"{src}/one")
+    assert run() == {"a": (pytest.approx(2.7), 1)}
+    assert run() == {"a": (pytest.approx(2.7), 1)}
+    spark.createDataFrame([("a", 1, 45, 10.0), ("b", 2, 1, 1.0)], schema).write.parquet(f"{src}/two")
+    assert run() == {"a": (pytest.approx(0.7 * 2.7 + 0.3 * 4.5), 2), "b": (1.0, 1)}
+
+
 def test_drain_finishes_once(spark, tmp_path):
     touch(tmp_path / "in", "a.jpg", "b.jpg", "c.jpg")
     seen, done = [], []
