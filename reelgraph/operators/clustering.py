@@ -192,12 +192,12 @@ def greedy_leader_clusters(
 
 def nearest_partner(
     partners: DataFrame, rows: DataFrame, mode: str = "any", *, vec: str = "embedding", normalise: bool = True,
-    broadcast_bytes: int | None = None,
+    broadcast_bytes: int | None = None, repeated: str = "",
 ) -> DataFrame:
     """Per row (``_id``) the most similar partner (``_p``) as (id, partner, sim), ties to the smallest partner."""
     parts = K.join_scores(
         partners, rows, K.best_one(mode), "id long, partner long, sim double", small_keys=["_p"], large_keys=["_id"],
-        vec=vec, normalise=normalise, broadcast_bytes=broadcast_bytes,
+        vec=vec, normalise=normalise, broadcast_bytes=broadcast_bytes, repeated=repeated,
     )
     best = F.max(F.struct("sim", (-F.col("partner")).alias("back"))).alias("b")
     return parts.groupBy("id").agg(best).select("id", (-F.col("b.back")).alias("partner"), F.col("b.sim").alias("sim"))

@@ -21,11 +21,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelgraph.session import cut
+
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
+DENSE_ROWS = 2048
 TILE_CELLS = 1 << 22
 
 Block = tuple[np.ndarray, np.ndarray]  # ids (or payload columns), unit vectors as rows
@@ -89,11 +92,16 @@ def join_scores(
     vec: str = "embedding",
     normalise: bool = True,
     broadcast_bytes: int | None = None,
+    dense: bool = False,
+    repeated: str = "",
 ) -> DataFrame:
-    """Run ``kernel(small_block, large_block) -> dict of columns`` over all pairs of the two tables.
+    """Run ``kernel(small_block, large_block)``, which yields dicts of columns, over all pairs of the two tables.
 
     ``small`` is broadcast when its measured size allows, else both sides are laid out as a grid. The kernel sees
     each (small row, large row) pair exactly once, but spread over several calls, so its output must be mergeable.
+    ``dense`` marks kernels with a result for (nearly) every pair; their grid blocks are small.
+    ``repeated`` names the side ("small" or "large") whose first key is not unique; its rows are dealt to blocks at
+    random and stored, so that neither a frequent key nor copies of a row fill a block and a retry sees the same deal.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     small = small.select(*small_keys, vec)
@@ -113,13 +121,14 @@ def join_scores(
         return large.mapInArrow(scan, schema)
 
     n_large, _ = shape(large, vec)
-    n_left, n_right = blocks_for(n_small, width), blocks_for(n_large, width)
+    rows = min(rows_per_block(width), DENSE_ROWS) if dense else rows_per_block(width)
+    n_left, n_right = max(1, math.ceil(n_small / rows)), max(1, math.ceil(n_large / rows))
     # The small side gets names of its own: both sides may stem from one table.
     names = [f"_s{i}" for i in range(len(small_keys) + 1)]
-    left = small.toDF(*names).withColumn("_d", block_of(names[0], n_left)).select(
+    left = placed(small.toDF(*names), "_d", n_left, repeated == "small").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_e")
     )
-    right = large.withColumn("_c", block_of(large_keys[0], n_right)).select(
+    right = placed(large, "_c", n_right, repeated == "large").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_b")
     )
 
@@ -145,7 +154,7 @@ def self_join_scores(
     normalise: bool = True,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Run ``kernel(block_a, block_b, same) -> dict of columns`` over each unordered pair of rows once.
+    """Run ``kernel(block_a, block_b, same)``, which yields dicts of columns, over each unordered pair of rows once.
 
     With ``group`` only rows of the same group meet; a group is split into as many blocks as its size asks for, so
     one that holds a third of the table is spread over many tasks. ``same`` tells that both blocks are one block.
@@ -185,12 +194,11 @@ def rows_per_block(width: int) -> int:
     return max(256, BLOCK_BYTES // (8 * width))
 
 
-def blocks_for(n: int, width: int) -> int:
-    return max(1, math.ceil(n / rows_per_block(width)))
-
-
-def block_of(key: str, n_blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int")
+def placed(df: DataFrame, name: str, n_blocks: int, repeated: bool) -> DataFrame:
+    """``df`` with a block number: by hash of its first column, or at random where that column repeats."""
+    if repeated:
+        return cut(df.withColumn(name, F.floor(F.rand(17) * n_blocks).cast("int")))
+    return df.withColumn(name, F.pmod(F.xxhash64(df.columns[0]), F.lit(n_blocks)).cast("int"))
 
 
 def pa_schema(schema: str) -> pa.Schema:
@@ -200,14 +208,18 @@ def pa_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, types[kind]) for name, kind in pairs])
 
 
-def whole(columns: dict | list, fields: pa.Schema) -> pa.Table:
-    parts = columns if isinstance(columns, list) else [columns]
-    return pa.concat_tables([pa.table({f.name: pa.array(p[f.name], f.type) for f in fields}) for p in parts] or
-                            [fields.empty_table()])
+def whole(parts: Iterator[dict], fields: pa.Schema) -> pa.Table:
+    return pa.concat_tables([fields.empty_table(), *(as_table(p, fields) for p in parts)])
+
 
+def as_table(columns: dict, fields: pa.Schema) -> pa.Table:
+    return pa.table({f.name: pa.array(columns[f.name], f.type) for f in fields})
 
-def emit(columns: dict | list, fields: pa.Schema) -> Iterator[pa.RecordBatch]:
-    yield from whole(columns, fields).to_batches(max_chunksize=65536)
+
+def emit(parts: Iterator[dict], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One tile at a time, so that a task holds one tile of results."""
+    for part in parts:
+        yield from as_table(part, fields).to_batches(max_chunksize=65536)
 
 
 # ---------------------------------------------------------------- kernels
@@ -221,7 +233,6 @@ def best_k(k: int):
         order = np.argsort(rcols["_id"], kind="stable")
         ids, rmat = rcols["_id"][order], rmat[order]
         take = min(k, len(ids))
-        out = []
         for part in tiles(len(qmat), len(ids)):
             s = similarities(qmat[part], rmat)
             if take == len(ids):
@@ -231,12 +242,11 @@ def best_k(k: int):
                 floor = np.take_along_axis(s, pick, axis=1).min(axis=1)
                 for i in np.flatnonzero((s >= floor[:, None]).sum(axis=1) > take):
                     pick[i] = np.argsort(-s[i], kind="stable")[:take]
-            out.append({
+            yield {
                 "query_id": np.repeat(qcols["_q"][part], take),
                 "id": ids[pick].ravel(),
                 "score": np.take_along_axis(s, pick, axis=1).ravel(),
-            })
-        return out
+            }
 
     return kernel
 
@@ -248,7 +258,6 @@ def best_one(mode: str = "any"):
         (pcols, pmat), (rcols, rmat) = partners, rows
         order = np.argsort(pcols["_p"], kind="stable")
         pids, pmat = pcols["_p"][order], pmat[order]
-        out = []
         for part in tiles(len(rmat), len(pids)):
             ids = rcols["_id"][part]
             s = similarities(rmat[part], pmat)
@@ -259,8 +268,7 @@ def best_one(mode: str = "any"):
             j = s.argmax(axis=1)
             top = s[np.arange(len(ids)), j]
             ok = np.isfinite(top)
-            out.append({"id": ids[ok], "partner": pids[j][ok], "sim": top[ok]})
-        return out
+            yield {"id": ids[ok], "partner": pids[j][ok], "sim": top[ok]}
 
     return kernel
 
@@ -271,7 +279,6 @@ def over_threshold(threshold: float, strict: bool = False):
     def kernel(a, b, same):
         (acols, amat), (bcols, bmat) = a, b
         aid, bid = acols["_id"], bcols["_id"]
-        out = []
         for part in tiles(len(amat), len(bmat)):
             s = similarities(amat[part], bmat)
             hit = s > threshold if strict else s >= threshold
@@ -279,8 +286,7 @@ def over_threshold(threshold: float, strict: bool = False):
                 hit &= aid[part][:, None] < bid[None, :]
             i, j = np.nonzero(hit)
             x, y = aid[part][i], bid[j]
-            out.append({"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": s[i, j]})
-        return out
+            yield {"src": np.minimum(x, y), "dst": np.maximum(x, y), "sim": s[i, j]}
 
     return kernel
 
@@ -302,7 +308,7 @@ def spanning_stars(threshold: float):
             i, j = np.nonzero(similarities(amat[part], bmat) >= threshold)
             root = hook(root, at[part][i], bt[j])
         moved = root != np.arange(len(ids))
-        return {"src": ids[root[moved]], "dst": ids[moved]}
+        yield {"src": ids[root[moved]], "dst": ids[moved]}
 
     return kernel
 
@@ -332,20 +338,18 @@ def pooled_parts(tau: float):
         videos, starts = np.unique(fcols["_video"][order], return_index=True)
         counts = np.diff(np.append(starts, len(order)))
         fmat = fmat[order]
-        out = []
         for part in tiles(len(qmat), len(fmat)):
             s = similarities(qmat[part], fmat)
             top = np.maximum.reduceat(s, starts, axis=1)
             e = np.add.reduceat(np.exp((s - np.repeat(top, counts, axis=1)) / tau), starts, axis=1)
             n_q = len(s)
-            out.append({
+            yield {
                 "query_id": np.repeat(qcols["_q"][part], len(videos)),
                 "video_id": np.tile(videos, n_q),
                 "top": top.ravel(),
                 "mass": e.ravel(),
                 "n": np.tile(counts, n_q),
-            })
-        return out
+            }
 
     return kernel
 
@@ -355,15 +359,13 @@ def all_scores():
 
     def kernel(labels, rows):
         (lcols, lmat), (rcols, rmat) = labels, rows
-        out = []
         for part in tiles(len(rmat), len(lmat)):
             s = similarities(rmat[part], lmat)
-            out.append({
+            yield {
                 "item_id": np.repeat(rcols["_id"][part], len(lmat)),
                 "label_ord": np.tile(lcols["_l"], len(s)),
                 "sim": s.ravel(),
-            })
-        return out
+            }
 
     return kernel
 
@@ -376,29 +378,30 @@ def exemplar_boosts(floor: float, top: float, weight: float):
         labels, where = np.unique(ecols["_l"], return_inverse=True)
         member = np.zeros((len(where), len(labels)))
         member[np.arange(len(where)), where] = 1.0
-        out = []
         for part in tiles(len(rmat), len(emat)):
             s = np.clip(similarities(rmat[part], emat), 0.0, 1.0)
             total = np.where(s > floor, weight * (s - floor) / (top - floor), 0.0) @ member
             i, j = np.nonzero(total)
-            out.append({"item_id": rcols["_id"][part][i], "label_ord": labels[j], "boost": total[i, j]})
-        return out
+            yield {"item_id": rcols["_id"][part][i], "label_ord": labels[j], "boost": total[i, j]}
 
     return kernel
 
 
 def score_counts(digits: int):
-    """How many pairs of a self-join have each rounded score."""
+    """How many pairs of a self-join have each rounded score; a fixed table of counts, however many pairs there are."""
+    top = 10**digits
 
     def kernel(a, b, same):
         (acols, amat), (bcols, bmat) = a, b
-        out = []
+        counts = np.zeros(2 * top + 1, np.int64)
         for part in tiles(len(amat), len(bmat)):
-            s = similarities(amat[part], bmat)
-            keep = acols["_id"][part][:, None] < bcols["_id"][None, :] if same else np.ones(s.shape, bool)
-            values, counts = np.unique(np.round(s[keep], digits) + 0.0, return_counts=True)
-            out.append({"score": values, "n": counts})
-        return out
+            levels = np.rint(np.clip(similarities(amat[part], bmat), -1.0, 1.0) * top).astype(np.int64) + top
+            if same:
+                levels = levels[acols["_id"][part][:, None] < bcols["_id"][None, :]]
+            found, n = np.unique(levels, return_counts=True)
+            counts[found] += n
+        used = np.flatnonzero(counts)
+        yield {"score": (used - top) / top, "n": counts[used]}
 
     return kernel
 
@@ -412,12 +415,10 @@ def ahead_of_target():
         qmat, goal, rmat = unit(both[:, :width]), unit(both[:, width:]), unit(rmat)
         own = np.round(np.einsum("ij,ij->i", qmat, goal), 12)
         ids = rcols["_id"]
-        out = []
         for part in tiles(len(qmat), len(rmat)):
             s = similarities(qmat[part], rmat)
             mine, target = own[part][:, None], qcols["_t"][part][:, None]
             ahead = (ids[None, :] != target) & ((s > mine) | ((s == mine) & (ids[None, :] < target)))
-            out.append({"query_id": qcols["_q"][part], "ahead": ahead.sum(axis=1)})
-        return out
+            yield {"query_id": qcols["_q"][part], "ahead": ahead.sum(axis=1)}
 
     return kernel

@@ -50,6 +50,7 @@ def label_similarities(
         label_vectors.select(F.col("label_ord").cast("long").alias("_l"), F.col(vec)),
         items.select(F.col(id_col).cast("long").alias("_id"), F.col(vec)),
         K.all_scores(), "item_id long, label_ord long, sim double", small_keys=["_l"], large_keys=["_id"], vec=vec,
+        dense=True,
     )
 
 
@@ -63,7 +64,7 @@ def feedback_boosts(
     parts = K.join_scores(
         exemplars, items.select(F.col(id_col).cast("long").alias("_id"), F.col(vec)),
         K.exemplar_boosts(floor, BOOST_TOP, BOOST_WEIGHT), "item_id long, label_ord long, boost double",
-        small_keys=["_l"], large_keys=["_id"], vec=vec, broadcast_bytes=broadcast_bytes,
+        small_keys=["_l"], large_keys=["_id"], vec=vec, broadcast_bytes=broadcast_bytes, repeated="small",
     )
     return parts.groupBy("item_id", "label_ord").agg(F.sum("boost").alias("boost"))
 

@@ -73,7 +73,8 @@ def smooth_max_scores(
         queries.select(F.col(query_id).cast("long").alias("_q"), F.col(vec)),
         frames.select(F.col(video_id).cast("long").alias("_video"), F.col(vec)),
         K.pooled_parts(tau), "query_id long, video_id long, top double, mass double, n long",
-        small_keys=["_q"], large_keys=["_video"], vec=vec, broadcast_bytes=broadcast_bytes,
+        small_keys=["_q"], large_keys=["_video"], vec=vec, broadcast_bytes=broadcast_bytes, dense=True,
+        repeated="large",
     )
     video = Window.partitionBy("query_id", "video_id")
     based = parts.withColumn("_max", F.max("top").over(video))

@@ -81,6 +81,28 @@ def test_smooth_max_over_split_videos(spark, limit):
     assert len(got) == 4 * len(set(video))
 
 
+def test_frequent_keys_are_spread_over_blocks(spark, monkeypatch):
+    from reelgraph.operators import identity as I
+    from reelgraph.operators import kernels as K
+
+    monkeypatch.setattr(K, "rows_per_block", lambda width: 15)
+    rows = D.clustered(8, 60, copies=30)
+    person = [1 if i % 3 else i % 4 + 2 for i in range(len(rows))]
+    known = D.frame(spark, rows[10:], person_id=person[10:])
+    faces = D.frame(spark, rows[:10]).withColumnRenamed("seq", "id")
+    small = {r.id: r.person_id for r in I.best_person(faces, known).collect()}
+    grid = {r.id: r.person_id for r in I.best_person(faces, known, broadcast_bytes=0).collect()}
+    s = np.round(D.unit(rows[:10]) @ D.unit(rows[10:]).T, 12)
+    assert grid == small == {i: min((-s[i, j], person[10 + j]) for j in range(len(rows) - 10))[1] for i in range(10)}
+    labels = spark.createDataFrame([("p", 1, [1.0] * 8)], "label string, label_ord int, embedding array<float>")
+    examples = known.withColumn("corrected_label", L.F.lit("p"))
+    boosts = [
+        {r.item_id: round(r.boost, 9) for r in L.feedback_boosts(faces, examples, labels, broadcast_bytes=b).collect()}
+        for b in (None, 0)
+    ]
+    assert boosts[0] == boosts[1] and boosts[0]
+
+
 @pytest.mark.parametrize("limit", [None, 0])
 def test_target_ranks(spark, limit):
     rows = D.clustered(4, 60, noise=1.0)
