@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.llm.common import slices, spread
 
-CHUNK_BYTES = 16 << 20  # text whose words share one index
+CHUNK_BYTES = 4 << 20  # text whose words share one index; a chunk takes about sixty times that in memory
 
 # White space in the sense of Unicode, and the word pattern of this tokenizer family.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -72,7 +72,7 @@ class Vocabulary:
         """The ranks of pairs of ids, NONE where no merge joins them."""
         if not len(a):
             return np.empty(0, np.int64)
-        keys = a << 32 | b
+        keys = a.astype(np.int64) << 32 | b
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         return np.where(self.keys[at] == keys, self.ranks[at], NONE)
 
@@ -90,15 +90,15 @@ class PairIndex:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         self.ends = np.cumsum(sizes)
         n = int(self.ends[-1]) if len(words) else 0
-        self.ids = vocab.base[np.frombuffer(b"".join(words), np.uint8)]
-        self.next = np.arange(1, n + 1)
+        self.ids = vocab.base.astype(np.int32)[np.frombuffer(b"".join(words), np.uint8)]
+        self.next = np.arange(1, n + 1, dtype=np.int32)
         self.next[self.ends - 1] = -1
-        self.prev = np.arange(-1, n - 1)
+        self.prev = np.arange(-1, n - 1, dtype=np.int32)
         self.prev[self.ends - sizes] = -1
         self.alive = np.ones(n, bool)
         self.positions: dict[int, list[np.ndarray]] = {}
         self.active: list[int] = []
-        at = np.flatnonzero(self.next >= 0)
+        at = np.flatnonzero(self.next >= 0).astype(np.int32)
         self.add(at, self.vocab.rank(self.ids[at], self.ids[at + 1]))
 
     def add(self, at: np.ndarray, ranks: np.ndarray) -> None:
@@ -134,7 +134,7 @@ class PairIndex:
                 if p != used:
                     taken.append(p)
                     used = q
-            at = np.array(taken, np.int64)
+            at = np.array(taken, np.int32)
             after = self.next[at]
         if not len(at):
             return
