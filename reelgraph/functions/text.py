@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The label of a video in work, the heading of undated items, and the white space that stripping takes.
 PLACEHOLDER_LABEL = "Processing AI tags..."
 RECENT = "Recent"
+WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def strip(text: Column) -> Column:
+    """``text`` without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
 
 
 # ---------------------------------------------------------------- queries and prompts
 
 
 def clean_query(query: Column) -> Column:
-    return F.lower(F.trim(query))
+    return F.lower(strip(query))
 
 
 def clean_queries(df: DataFrame, text: str = "text") -> DataFrame:
-    """Trimmed lower-case queries without the empty ones."""
+    """Stripped lower-case queries without the empty ones."""
     return df.withColumn(text, clean_query(F.col(text))).filter(F.col(text) != "")
 
 
@@ -32,7 +39,7 @@ def prompt_templates(query: Column) -> Column:
     A query that already reads like a photo caption stays alone. One word gets six phrasings besides itself, several
     words get four, and a fifth with an article unless the query starts with a capital letter.
     """
-    q = F.trim(query)
+    q = strip(query)
     a_q = F.concat(article(q), F.lit(" "), q)
 
     def after(prefix: str, text: Column) -> Column:
@@ -79,7 +86,7 @@ def stem(path: Column) -> Column:
 
 
 def original_name(name: Column) -> Column:
-    """Original of a timestamped duplicate such as name_1787487347990.jpg, else null."""
+    """Original of a duplicate whose name got a time stamp of ten to fourteen digits, else null."""
     pattern = r"^(.*)_\d{10,14}(\.[^.]+)$"
     return F.when(
         name.rlike(pattern), F.concat(F.regexp_extract(name, pattern, 1), F.regexp_extract(name, pattern, 2))
@@ -100,7 +107,7 @@ def spaced(name: Column) -> Column:
 
 def tags(label: Column) -> Column:
     """Lower-case tags of a comma-joined label, without blanks and the placeholder."""
-    parts = F.transform(F.split(F.coalesce(label, F.lit("")), ","), lambda t: F.lower(F.trim(t)))
+    parts = F.transform(F.split(F.coalesce(label, F.lit("")), ","), lambda t: F.lower(strip(t)))
     return F.filter(parts, lambda t: (t != "") & (t != F.lit(PLACEHOLDER_LABEL.lower())))
 
 

@@ -113,20 +113,22 @@ SQL_FUNCTIONS = {
     "cosine": (
         "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>",
         "DOUBLE",
-        "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
-        " / nullif(sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)), 0D)",
+        "coalesce(aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+        " / nullif(sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)), 0D),"
+        " if(a IS NULL OR b IS NULL, NULL, 0D))",
     ),
+    # The maximum is bound by a list of one, so that it is found once.
     "softmax": (
-        "v ARRAY<DOUBLE>",
+        "v ARRAY<DOUBLE>, scale DOUBLE DEFAULT 1D",
         "ARRAY<DOUBLE>",
-        "aggregate(v, 0D, (s, x) -> s + exp(x - array_max(v)),"
-        " s -> transform(v, x -> exp(x - array_max(v)) / s))",
+        "element_at(transform(array(array_max(v)), m -> aggregate(v, 0D, (s, x) -> s + exp(scale * (x - m)),"
+        " s -> transform(v, x -> exp(scale * (x - m)) / s))), 1)",
     ),
     "smooth_max": (
-        "v ARRAY<DOUBLE>",
+        "v ARRAY<DOUBLE>, tau DOUBLE DEFAULT 0.02D",
         "DOUBLE",
-        "aggregate(v, 0D, (s, x) -> s + exp((x - array_max(v)) / 0.02D),"
-        " s -> 0.02D * ln(s / size(v)) + array_max(v))",
+        "element_at(transform(array(array_max(v)), m -> aggregate(v, 0D, (s, x) -> s + exp((x - m) / tau),"
+        " s -> tau * ln(s / size(v)) + m)), 1)",
     ),
 }
 

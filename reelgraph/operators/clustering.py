@@ -18,8 +18,6 @@ from reelgraph.session import cut
 COMPONENT_THRESHOLD = 0.31
 LEADER_THRESHOLD = 0.45
 MERGE_THRESHOLD = 0.40
-COMPAT_MAX_CLUSTERS = 8000  # pass as max_clusters to skip the merge above this many clusters
-MAX_ROUNDS = 10_000
 
 
 def similar_pairs(
@@ -55,13 +53,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "seq"
     stars = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     stars = cut(stars.filter("u <> v").distinct())
     state = _fingerprint(stars)
-    for _ in range(MAX_ROUNDS):
+    while True:
         stars = cut(_small_star(_large_star(stars)))
         previous, state = state, _fingerprint(stars)
         if previous == state:
             break
-    else:
-        raise RuntimeError("components did not settle")
     roots = stars.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.select(id_col).join(roots, F.col(id_col) == F.col("u"), "left").select(
         id_col, F.coalesce("component", id_col).alias("component")
@@ -140,7 +136,7 @@ def greedy_leaders(
     pending = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
     found: list[DataFrame] = []
     chunk = chunk_rows
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round settles the rows of its head
         head = pending.orderBy("_id").limit(chunk)
         settled = cut(
             head.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(
@@ -164,8 +160,6 @@ def greedy_leaders(
 
         pending = cut(pending.filter(F.col("_id") > last).mapInArrow(drop_covered, "_id long, _v array<double>"))
         chunk = min(2 * chunk, max_chunk_rows)
-    else:
-        raise RuntimeError("leader rounds exhausted")
     return _union(found)
 
 
@@ -192,12 +186,12 @@ def greedy_leader_clusters(
 
 def nearest_partner(
     partners: DataFrame, rows: DataFrame, mode: str = "any", *, vec: str = "embedding", normalise: bool = True,
-    broadcast_bytes: int | None = None, repeated: str = "",
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Per row (``_id``) the most similar partner (``_p``) as (id, partner, sim), ties to the smallest partner."""
     parts = K.join_scores(
         partners, rows, K.best_one(mode), "id long, partner long, sim double", small_keys=["_p"], large_keys=["_id"],
-        vec=vec, normalise=normalise, broadcast_bytes=broadcast_bytes, repeated=repeated,
+        vec=vec, normalise=normalise, broadcast_bytes=broadcast_bytes,
     )
     best = F.max(F.struct("sim", (-F.col("partner")).alias("back"))).alias("b")
     return parts.groupBy("id").agg(best).select("id", (-F.col("b.back")).alias("partner"), F.col("b.sim").alias("sim"))
@@ -205,12 +199,12 @@ def nearest_partner(
 
 def grouped_leaders(
     df: DataFrame, group: str, threshold: float, *, id_col: str = "id", vec: str = "embedding", strict: bool = False,
-    chunk_rows: int = 1000,
+    chunk_rows: int = 1000, max_chunk_rows: int = 8192,
 ) -> DataFrame:
     """First-leader ids inside each group (a null group is one group).
 
-    A round settles the first ``chunk_rows`` open ids of every group, so groups of ordinary size are done after one
-    round. The rest of larger groups is salted over as many tasks as its size asks for and the new leaders, a
+    A round settles the first ``chunk_rows`` open ids of every group, a head that grows up to ``max_chunk_rows``, so
+    groups of ordinary size are done after one round. The rest of larger groups is salted over as many tasks as its size asks for and the new leaders, a
     bounded number per group, are sent to each of them.
     """
     keyed = F.struct(F.col(group).isNull().alias("none"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("k"))
@@ -221,7 +215,7 @@ def grouped_leaders(
     in_order = Window.partitionBy("_g").orderBy("_id")
     schema = "_g string, _id long, _v array<double>"
     found: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round settles the heads of all open groups
         head = pending.withColumn("_rn", F.row_number().over(in_order)).filter(F.col("_rn") <= chunk_rows).drop("_rn")
         settled = cut(
             head.groupBy("_g").applyInArrow(_resolve_head(threshold, strict, ["_g"]), schema + ", _leader boolean")
@@ -247,7 +241,7 @@ def grouped_leaders(
             return _union(found)
         if len(found) > 32:
             found = [cut(_union(found))]
-    raise RuntimeError("leader rounds exhausted")
+        chunk_rows = min(2 * chunk_rows, max_chunk_rows)
 
 
 # ---------------------------------------------------------------- average linkage
@@ -255,7 +249,7 @@ def grouped_leaders(
 
 def average_linkage(
     df: DataFrame, threshold: float | None = MERGE_THRESHOLD, *, id_col: str = "cluster", vec: str = "embedding",
-    max_clusters: int | None = None, broadcast_bytes: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """(id, merged): average-linkage clusters of unit vectors, cut where the average cosine is not above ``threshold``.
 
@@ -266,7 +260,7 @@ def average_linkage(
     """
     unit = df.select(F.col(id_col).cast("long").alias("_id"), l2_normalize(vec).alias("_v"))
     same = unit.select(F.col("_id").alias(id_col), F.col("_id").alias("merged"))
-    if threshold is None or (max_clusters is not None and unit.count() > max_clusters):
+    if threshold is None:
         return same
     # Exact copies are merged first in any order, so they start as one cluster and cost no rounds.
     unit = cut(unit)
@@ -281,7 +275,7 @@ def average_linkage(
         F.col("_id").alias(id_col), F.coalesce("_keep", "_id").alias("merged")
     )
     mapping, waiting = cut(same), []
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round merges at least the closest pair
         means = active.select("_id", F.transform("_v", lambda x: x / F.col("_n")).alias("_v"))
         near = nearest_partner(
             means.withColumnRenamed("_id", "_p"), means, "other", vec="_v", normalise=False,
@@ -308,7 +302,6 @@ def average_linkage(
         waiting.append(merges)
         if len(waiting) == 8:
             mapping, waiting = cut(_follow(mapping, waiting, id_col)), []
-    raise RuntimeError("merge rounds exhausted")
 
 
 def _follow(mapping: DataFrame, merges: list[DataFrame], id_col: str) -> DataFrame:
@@ -333,7 +326,7 @@ def mark_small_clusters(df: DataFrame, min_cluster_size: int, label: str = "labe
 def two_stage_clusters(
     df: DataFrame, *, min_cluster_size: int = 3, threshold: float = LEADER_THRESHOLD,
     merge_threshold: float | None = MERGE_THRESHOLD, id_col: str = "seq", vec: str = "embedding",
-    max_clusters: int | None = None, chunk_rows: int = 512,
+    chunk_rows: int = 512,
 ) -> DataFrame:
     """(id, label): strict greedy leaders, then an average-linkage merge of their centroids.
 
@@ -342,7 +335,7 @@ def two_stage_clusters(
     unit = df.select(F.col(id_col).cast("long").alias("seq"), l2_normalize(vec).alias("embedding"))
     led = cut(greedy_leader_clusters(unit, threshold, chunk_rows=chunk_rows))
     centroids = pool_vectors(unit.join(led, "seq"), ["leader"], how="sum", eps=1e-9)
-    merged = average_linkage(centroids, merge_threshold, id_col="leader", max_clusters=max_clusters)
+    merged = average_linkage(centroids, merge_threshold, id_col="leader")
     grouped = cut(led.join(merged, "leader").select("seq", F.col("merged").alias("cluster")))
     labelled = grouped.join(dense_ids(grouped, "cluster", "label"), "cluster").select("seq", "label")
     sized = mark_small_clusters(labelled, max(1, min_cluster_size))

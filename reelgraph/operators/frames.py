@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgraph.functions.media import pick_evenly, sample_indices
 from reelgraph.functions.vectors import as_double, histogram_correlation, l2_normalize
+from reelgraph.session import cut
 
 SAMPLED_FRAMES = 14
 KEYFRAME_CORRELATION = 0.95
 MIN_KEYFRAMES = 4
+LOOK_AHEAD = 256  # frames compared with the last kept one at once
 
 
 # ---------------------------------------------------------------- stored vectors
@@ -27,26 +32,31 @@ def vector_from_json(text: Column | str) -> Column:
     return F.from_json(text, "array<float>")
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
-def _unpack_half(blobs: pd.Series, widths: pd.Series) -> pd.Series:
-    return pd.Series(
-        [
-            None if b is None else list(np.frombuffer(b, np.float16).astype(np.float32).reshape(-1, w))
-            for b, w in zip(blobs, widths, strict=True)
-        ]
-    )
-
-
-@F.pandas_udf(T.BinaryType())
-def _pack_half(vectors: pd.Series) -> pd.Series:
-    return pd.Series(
-        [None if v is None else np.asarray([np.asarray(x) for x in v], np.float16).tobytes() for v in vectors]
-    )
+def _ends(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
 
 
 def unpack_frames(blob: Column | str, width: int) -> Column:
     """float16 bytes -> list of frame vectors."""
-    return _unpack_half(blob, F.lit(width))
+
+    @F.arrow_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def unpack(blobs: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.binary_length(blobs), 0).to_numpy(zero_copy_only=False) // (2 * width)
+        flat = np.frombuffer(b"".join(blobs.drop_null().to_pylist()), np.float16).astype(np.float32)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
+        return pc.if_else(pc.is_null(blobs), None, pa.ListArray.from_arrays(pa.array(_ends(sizes)), rows))
+
+    return unpack(blob)
+
+
+@F.arrow_udf(T.BinaryType())
+def _pack_half(vectors: pa.Array) -> pa.Array:
+    rows = vectors.flatten()
+    numbers = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float16).tobytes()
+    upto = _ends(pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False))
+    ends = 2 * upto[_ends(pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False))]
+    packed = pa.Array.from_buffers(pa.binary(), len(vectors), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(numbers)])
+    return pc.if_else(pc.is_null(vectors), None, packed)
 
 
 def pack_frames(vectors: Column | str) -> Column:
@@ -91,36 +101,79 @@ def evenly_picked(frames: DataFrame, count: Column, *, total: str = "total_frame
     return frames.filter(F.array_contains(chosen, F.col("frame_idx").cast("int")))
 
 
+def spread_frames(frames: DataFrame, count: int = SAMPLED_FRAMES) -> DataFrame:
+    """At most ``count`` evenly spread frames of each video, whatever their numbering; shorter videos keep all."""
+    sizes = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("_at")) - 1
+    placed = frames.select("video_id", F.col("frame_idx").alias("_at")).withColumn("frame_idx", place).join(sizes, "video_id")
+    chosen = sampled_frames(placed, count, total="_n", keep=F.col("_n") <= count).select("video_id", F.col("_at").alias("frame_idx"))
+    return frames.join(chosen, ["video_id", "frame_idx"], "left_semi")
+
+
 # ---------------------------------------------------------------- keyframes
 
 
+def correlations(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Pearson correlation of each row with ``one``; 1.0 when either is constant."""
+    n = rows.shape[1]
+    total, own = rows.sum(1), one.sum()
+    spread, own_spread = np.einsum("ij,ij->i", rows, rows) - total * total / n, one @ one - own * own / n
+    flat = (spread <= 0) | (own_spread <= 0)
+    return np.where(flat, 1.0, (rows @ one - total * own / n) / np.sqrt(np.where(flat, 1.0, spread * own_spread)))
+
+
+def _fold_keyframes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frames of each video that correlate below the bound with the last kept one; rows come by video, in time order.
+
+    A task holds a batch and one histogram, however long a video is.
+    """
+    video, last = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        videos = batch.column("video_id").to_pylist()
+        hists = batch.column("h")
+        rows = hists.flatten().to_numpy(zero_copy_only=False).reshape(len(videos), -1)
+        kept, at = [], 0
+        while at < len(videos):
+            if last is None or videos[at] != video:
+                video, last = videos[at], rows[at].copy()
+                kept.append(at)
+                at += 1
+                continue
+            end = at + 1
+            while end < len(videos) and end < at + LOOK_AHEAD and videos[end] == video:
+                end += 1
+            new = np.flatnonzero(correlations(rows[at:end], last) < KEYFRAME_CORRELATION)
+            if len(new):
+                at += int(new[0])
+                last = rows[at].copy()
+                kept.append(at)
+                at += 1
+            else:
+                at = end
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
 def keyframes(frames: DataFrame, *, hist: str = "hist") -> DataFrame:
-    """(video_id, frame_idx) of the frames that tell something new.
+    """(video_id, frame_idx) of the frames that tell something new, whatever their number and numbering.
 
     In time order a frame stays when its histogram correlates below 0.95 with the last kept one. If fewer than four
-    stay, the frames least correlated with any kept one fill up, ordered once. Videos of up to four frames keep all.
-    A video with more than 14 frames (numbered from 0) is first sampled at 14 even positions, which bounds the list
-    each video is folded over.
+    stay, the frames least correlated with any kept one fill up, ordered once; so videos of up to four frames keep all.
+    Each video is one ordered fold; the rare fill-up joins the frames of these videos with their at most three kept ones.
+    Take a sample first (``sampled_frames``) where a frame budget asks for one.
     """
-    sizes = frames.groupBy("video_id").agg(F.count(F.lit(1)).alias("_n"))
-    few = F.col("_n") <= SAMPLED_FRAMES
-    frames = sampled_frames(frames.join(sizes, "video_id"), keep=few, total="_n")
-    entry = F.struct(F.col("frame_idx").alias("i"), as_double(hist).alias("h"))
-    videos = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(entry)).alias("f"))
-    first = F.array(F.element_at("f", 1))
-    scanned = F.aggregate(
-        F.slice("f", 2, F.greatest(F.size("f") - 1, F.lit(0))),
-        first,
-        lambda kept, x: F.when(
-            histogram_correlation(x["h"], F.element_at(kept, -1)["h"]) < KEYFRAME_CORRELATION,
-            F.concat(kept, F.array(x)),
-        ).otherwise(kept),
+    rows = frames.select("video_id", "frame_idx", as_double(hist).alias("h"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{name} {kind}" for name, kind in kinds.items())
+    ordered = rows.repartition("video_id").sortWithinPartitions("video_id", "frame_idx")
+    kept = cut(ordered.mapInArrow(_fold_keyframes, schema))
+    few = kept.groupBy("video_id").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") < MIN_KEYFRAMES)
+    have = kept.join(few, "video_id").select("video_id", "k", F.col("frame_idx").alias("_own"), F.col("h").alias("_k"))
+    rest = rows.join(kept.select("video_id", "frame_idx"), ["video_id", "frame_idx"], "left_anti")
+    worst = rest.join(have, "video_id").groupBy("video_id", "frame_idx").agg(
+        F.min(histogram_correlation("h", "_k")).alias("c"), F.first("k").alias("k")
     )
-    videos = videos.withColumn("kept", F.when(F.size("f") <= MIN_KEYFRAMES, F.col("f")).otherwise(scanned))
-    rest = F.filter("f", lambda x: ~F.exists("kept", lambda k: k["i"] == x["i"]))
-    worst = lambda x: F.array_min(F.transform("kept", lambda k: histogram_correlation(x["h"], k["h"])))
-    ordered = F.array_sort(F.transform(rest, lambda x: F.struct(worst(x).alias("c"), x["i"].alias("i"))))
-    missing = F.greatest(F.lit(MIN_KEYFRAMES) - F.size("kept"), F.lit(0))
-    indices = F.transform("kept", lambda k: k["i"])
-    filled = F.when(missing > 0, F.concat(indices, F.transform(F.slice(ordered, F.lit(1), missing), lambda x: x["i"])))
-    return videos.select("video_id", F.explode(F.coalesce(filled, indices)).alias("frame_idx"))
+    place = F.row_number().over(Window.partitionBy("video_id").orderBy("c", "frame_idx"))
+    spare = worst.withColumn("r", place).filter(F.col("r") < MIN_KEYFRAMES).filter(F.col("r") <= MIN_KEYFRAMES - F.col("k"))
+    return kept.select("video_id", "frame_idx").unionByName(spare.select("video_id", "frame_idx"))

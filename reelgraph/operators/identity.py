@@ -36,7 +36,6 @@ def best_person(
     best = nearest_partner(
         exemplars.select(F.col("person_id").cast("long").alias("_p"), F.col(vec)),
         faces.select(F.col(id_col).cast("long").alias("_id"), F.col(vec)), vec=vec, broadcast_bytes=broadcast_bytes,
-        repeated="small",
     )
     hits = best.filter(F.col("sim") >= threshold).select(
         F.col("id").alias(id_col), F.col("partner").alias("person_id"), "sim"

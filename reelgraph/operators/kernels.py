@@ -6,29 +6,34 @@ over a threshold, or partial sums. Two layouts:
 
 * ``broadcast``: one side is at most ``BROADCAST_BYTES`` (measured, not assumed). It is sent to every task and the
   other side is scanned once, without a shuffle.
-* ``grid``: both sides are large. Rows get a block number by hash of their id, so a block never depends on how the
-  data clusters, and block pairs meet through an equality join on ``(left block, right block)``. A task holds two
-  blocks of at most ``BLOCK_BYTES`` each. A self-join visits each unordered block pair once.
-
-Scores are rounded to 12 digits before they are compared, so that exact copies tie wherever they are stored; ties
-go to the smallest id.
+* ``passes``: both sides are large. One side is written once to the shared folder in parts of bounded size. The other
+  stays where it is: a task takes a block of its rows and reads part after part past it, so no vector is shuffled again
+  and nothing is copied for each pair of blocks. A self-join writes its parts by hash of the id; the task of a part
+  reads the half of the others that follow it in a circle, which visits each unordered pair once and gives all tasks
+  the same work.
+
+Results leave a task tile by tile. Scores are rounded to 12 digits before they are compared, so that exact copies tie
+wherever they are stored; ties go to the smallest id.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgraph.session import cut
+from reelgraph.session import checkpoint_dir
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
-DENSE_ROWS = 2048
 TILE_CELLS = 1 << 22
 
 Block = tuple[np.ndarray, np.ndarray]  # ids (or payload columns), unit vectors as rows
@@ -76,9 +81,9 @@ def tiles(n_rows: int, n_cols: int) -> Iterator[slice]:
 
 
 def shape(df: DataFrame, vec: str) -> tuple[int, int]:
-    """(rows, width) of a vector table in one aggregate."""
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    return row["n"], max(1, row["d"] or 1)
+    """(rows, width) of a vector table; the width is that of one vector, so the count reads no values."""
+    one = df.filter(F.size(vec) > 0).select(F.size(vec).alias("d")).head(1)
+    return df.count(), one[0]["d"] if one else 1
 
 
 def join_scores(
@@ -92,55 +97,73 @@ def join_scores(
     vec: str = "embedding",
     normalise: bool = True,
     broadcast_bytes: int | None = None,
-    dense: bool = False,
-    repeated: str = "",
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Run ``kernel(small_block, large_block)``, which yields dicts of columns, over all pairs of the two tables.
 
-    ``small`` is broadcast when its measured size allows, else both sides are laid out as a grid. The kernel sees
-    each (small row, large row) pair exactly once, but spread over several calls, so its output must be mergeable.
-    ``dense`` marks kernels with a result for (nearly) every pair; their grid blocks are small.
-    ``repeated`` names the side ("small" or "large") whose first key is not unique; its rows are dealt to blocks at
-    random and stored, so that neither a frequent key nor copies of a row fill a block and a retry sees the same deal.
+    ``small`` is broadcast when its measured size allows, else its parts are read past the blocks of ``large``. The
+    kernel sees each (small row, large row) pair exactly once, but spread over several calls, so its output must be
+    mergeable.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     small = small.select(*small_keys, vec)
     large = large.select(*large_keys, vec)
     n_small, width = shape(small, vec)
-    fields = pa_schema(schema)
+    fields, block_bytes = pa_schema(schema), BLOCK_BYTES
 
     if n_small * width * 8 <= limit:
         held = large.sparkSession.sparkContext.broadcast(read_block(small.toArrow(), small_keys, vec, normalise))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = held.value
-            for batch in batches:
-                if batch.num_rows and len(left[1]):
-                    yield from emit(kernel(left, read_block(batch, large_keys, vec, normalise)), fields)
+            for block in blocks(batches, block_bytes) if len(left[1]) else ():
+                yield from emit(kernel(left, read_block(block, large_keys, vec, normalise)), fields)
 
         return large.mapInArrow(scan, schema)
 
-    n_large, _ = shape(large, vec)
-    rows = min(rows_per_block(width), DENSE_ROWS) if dense else rows_per_block(width)
-    n_left, n_right = max(1, math.ceil(n_small / rows)), max(1, math.ceil(n_large / rows))
-    # The small side gets names of its own: both sides may stem from one table.
-    names = [f"_s{i}" for i in range(len(small_keys) + 1)]
-    left = placed(small.toDF(*names), "_d", n_left, repeated == "small").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).alias("_e")
-    )
-    right = placed(large, "_c", n_right, repeated == "large").select(
-        "*", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).alias("_b")
-    )
+    n_parts = max(1, math.ceil(n_small / (part_rows or rows_per_block(width))))
+    folder = parts_of(small, n_parts, small_keys[0])
+
+    def scan_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, block_bytes):
+            right = read_block(block, large_keys, vec, normalise)
+            for k in range(n_parts):
+                left = read_part(folder, k, [*small_keys, vec])
+                if left is not None:
+                    yield from emit(kernel(read_block(left, small_keys, vec, normalise), right), fields)
+
+    return large.mapInArrow(scan_parts, schema)
+
+
+def parts_of(df: DataFrame, n: int, key: str) -> str:
+    """A folder in the shared place with ``df`` in ``n`` parts by hash of ``key``."""
+    folder = f"{checkpoint_dir(df.sparkSession)}/vectors-{uuid.uuid4()}"
+    placed = df.withColumn("_part", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+    placed.repartition(n, "_part").write.partitionBy("_part").parquet(folder)
+    return folder
+
+
+def read_part(folder: str, k: int, columns: list[str]) -> pa.Table | None:
+    """One part, read by the task that needs it; None where no row fell into it."""
+    fs, root = pa.fs.FileSystem.from_uri(folder) if "://" in folder else (pa.fs.LocalFileSystem(), folder.removeprefix("file:"))
+    path = f"{root}/_part={k}"
+    if fs.get_file_info(path).type == pa.fs.FileType.NotFound:
+        return None
+    return pq.read_table(path, columns=columns, filesystem=fs, partitioning=None)
 
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or b.num_rows == 0:
-            return fields.empty_table()
-        a = a.select(names).rename_columns([*small_keys, vec])
-        return whole(
-            kernel(read_block(a, small_keys, vec, normalise), read_block(b, large_keys, vec, normalise)), fields
-        )
 
-    return left.groupBy("_d", "_e").cogroup(right.groupBy("_b", "_c")).applyInArrow(meet, schema)
+def blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Batches put together until they hold about ``most`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def self_join_scores(
@@ -165,12 +188,54 @@ def self_join_scores(
     fields = pa_schema(schema)
     if group:
         sizes = df.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(rows))).cast("int").alias("_n"))
-        df = df.join(sizes, "_g")
-        blocks = F.col("_n")
+        sized = df.join(sizes, "_g")
+        # Groups of one block share tasks: a bucket holds about a block of rows, and each group in it is a call.
+        buckets = max(1, math.ceil(n / rows), min(df.sparkSession.sparkContext.defaultParallelism, n // 512))
+        small = sized.filter("_n = 1").withColumn("_bucket", F.pmod(F.xxhash64("_g"), F.lit(buckets))).drop("_n")
+        df = sized.filter("_n > 1")
     else:
-        want = max(math.ceil(n / rows), min(df.sparkSession.sparkContext.defaultParallelism // 2 + 1, n // 512))
-        blocks = F.lit(max(1, want))
-    placed = df.withColumn("_n", blocks).withColumn("_k", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
+        parts = max(math.ceil(n / rows), min(df.sparkSession.sparkContext.defaultParallelism // 2 + 1, n // 512), 1)
+        return _circle(df, parts, kernel, fields, schema, vec, normalise)
+    out = _grouped(df, kernel, fields, schema, vec, normalise)
+
+    def each(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_g")
+        codes = pc.rank(table.column("_g"), tiebreaker="min", null_placement="at_start").to_numpy()
+        edges = np.flatnonzero(np.diff(codes, prepend=0, append=0))
+        parts = []
+        for start, end in zip(edges, edges[1:]):
+            block = read_block(table.slice(start, end - start), ["_id"], vec, normalise)
+            parts += kernel(block, block, True)
+        return whole(parts, fields)
+
+    return out.unionByName(small.groupBy("_bucket").applyInArrow(each, schema))
+
+
+def _circle(df: DataFrame, n: int, kernel: Callable, fields: pa.Schema, schema: str, vec: str, normalise: bool) -> DataFrame:
+    """All unordered pairs of ``n`` parts: that of part k with the n / 2 parts after it."""
+    folder = parts_of(df.select("_id", vec), n, "_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(k: int):
+            table = read_part(folder, k, ["_id", vec])
+            return None if table is None else read_block(table, ["_id"], vec, normalise)
+
+        for k in (k for batch in batches for k in batch.column("id").to_pylist()):
+            own = block(k)
+            for step in range(n // 2 + 1 if own is not None else 0):
+                other = (k + step) % n
+                if 2 * step == n and k > other:  # opposite parts meet once
+                    continue
+                with_ = own if step == 0 else block(other)
+                if with_ is not None:
+                    yield from emit(kernel(own, with_, step == 0), fields)
+
+    return df.sparkSession.range(0, n, 1, n).mapInArrow(run, schema)
+
+
+def _grouped(df: DataFrame, kernel: Callable, fields: pa.Schema, schema: str, vec: str, normalise: bool) -> DataFrame:
+    """Pairs of blocks inside each group (_g), which has ``_n`` blocks."""
+    placed = df.withColumn("_k", F.pmod(F.xxhash64("_id"), F.col("_n")).cast("int"))
     left = placed.select("_g", F.col("_k").alias("_a"), F.explode(F.expr("sequence(_k, _n - 1)")).alias("_b"), "_id", vec)
     # The second role gets names of its own: both sides stem from one table.
     right = placed.select(
@@ -194,13 +259,6 @@ def rows_per_block(width: int) -> int:
     return max(256, BLOCK_BYTES // (8 * width))
 
 
-def placed(df: DataFrame, name: str, n_blocks: int, repeated: bool) -> DataFrame:
-    """``df`` with a block number: by hash of its first column, or at random where that column repeats."""
-    if repeated:
-        return cut(df.withColumn(name, F.floor(F.rand(17) * n_blocks).cast("int")))
-    return df.withColumn(name, F.pmod(F.xxhash64(df.columns[0]), F.lit(n_blocks)).cast("int"))
-
-
 def pa_schema(schema: str) -> pa.Schema:
     """Arrow schema of a "name type, ..." string made of long, int, double and string columns."""
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
@@ -387,21 +445,33 @@ def exemplar_boosts(floor: float, top: float, weight: float):
     return kernel
 
 
-def score_counts(digits: int):
-    """How many pairs of a self-join have each rounded score; a fixed table of counts, however many pairs there are."""
-    top = 10**digits
+def _pair_scores(a, b, same) -> Iterator[np.ndarray]:
+    """The scores of the pairs of a self-join, a tile at a time."""
+    (acols, amat), (bcols, bmat) = a, b
+    for part in tiles(len(amat), len(bmat)):
+        s = similarities(amat[part], bmat)
+        yield s[acols["_id"][part][:, None] < bcols["_id"][None, :]] if same else s.ravel()
+
+
+def score_counts():
+    """How many pairs of a self-join have each score."""
 
     def kernel(a, b, same):
-        (acols, amat), (bcols, bmat) = a, b
-        counts = np.zeros(2 * top + 1, np.int64)
-        for part in tiles(len(amat), len(bmat)):
-            levels = np.rint(np.clip(similarities(amat[part], bmat), -1.0, 1.0) * top).astype(np.int64) + top
-            if same:
-                levels = levels[acols["_id"][part][:, None] < bcols["_id"][None, :]]
-            found, n = np.unique(levels, return_counts=True)
-            counts[found] += n
-        used = np.flatnonzero(counts)
-        yield {"score": (used - top) / top, "n": counts[used]}
+        for s in _pair_scores(a, b, same):
+            found, n = np.unique(s + 0.0, return_counts=True)
+            yield {"score": found, "n": n}
+
+    return kernel
+
+
+def score_moments(threshold: float):
+    """Number, sum and sum of squares of the scores of a self-join, and how many are below the threshold: one row a block."""
+
+    def kernel(a, b, same):
+        n, total, squares, below = 0, 0.0, 0.0, 0
+        for s in _pair_scores(a, b, same):
+            n, total, squares, below = n + s.size, total + s.sum(), squares + (s * s).sum(), below + int((s < threshold).sum())
+        yield {"n": [n], "total": [total], "squares": [squares], "below": [below]}
 
     return kernel
 

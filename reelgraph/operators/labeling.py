@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import softmax
 from reelgraph.operators import kernels as K
 from reelgraph.operators.pooling import pool_vectors
+from reelgraph.session import cut
 
 LOGIT_SCALE = 50.0
 MIN_CONFIDENCE_SIM = 0.18
@@ -20,7 +21,7 @@ MIN_PROB = 0.03
 MAX_LABELS = 3
 BOOST_FLOOR, BOOST_TOP, BOOST_WEIGHT = 0.80, 1.0, 0.05
 FALLBACK_LABEL = "video"
-MAX_LABEL_BYTES = 32 << 20  # the vocabulary is sent to every task; a larger one is refused
+VOCABULARY_BYTES = 32 << 20  # a vocabulary up to here is sent to every task
 
 
 def label_prompts(labels: DataFrame) -> DataFrame:
@@ -50,7 +51,6 @@ def label_similarities(
         label_vectors.select(F.col("label_ord").cast("long").alias("_l"), F.col(vec)),
         items.select(F.col(id_col).cast("long").alias("_id"), F.col(vec)),
         K.all_scores(), "item_id long, label_ord long, sim double", small_keys=["_l"], large_keys=["_id"], vec=vec,
-        dense=True,
     )
 
 
@@ -64,7 +64,7 @@ def feedback_boosts(
     parts = K.join_scores(
         exemplars, items.select(F.col(id_col).cast("long").alias("_id"), F.col(vec)),
         K.exemplar_boosts(floor, BOOST_TOP, BOOST_WEIGHT), "item_id long, label_ord long, boost double",
-        small_keys=["_l"], large_keys=["_id"], vec=vec, broadcast_bytes=broadcast_bytes, repeated="small",
+        small_keys=["_l"], large_keys=["_id"], vec=vec, broadcast_bytes=broadcast_bytes,
     )
     return parts.groupBy("item_id", "label_ord").agg(F.sum("boost").alias("boost"))
 
@@ -72,16 +72,18 @@ def feedback_boosts(
 def classify(
     items: DataFrame, label_vectors: DataFrame, feedback: DataFrame | None = None, *, id_col: str = "id",
     vec: str = "embedding", boost_floor: float = BOOST_FLOOR, min_sim: float = MIN_CONFIDENCE_SIM,
+    vocabulary_bytes: int | None = None,
 ) -> DataFrame:
     """(item_id, label): up to three labels within 40 % of the most probable one, joined by ", ".
 
     The similarities of an item stay one array next to it, so selecting labels needs no shuffle; only items with
-    boosts meet a join. Label ties go to the lower ``label_ord``.
+    boosts meet a join. Label ties go to the lower ``label_ord``. A vocabulary above ``vocabulary_bytes`` is not sent to
+    the tasks; its similarities then are rows, with the same result.
     """
     vocabulary = label_vectors.select(F.col("label_ord").cast("long").alias("label_ord"), "label", vec)
     n, width = K.shape(vocabulary, vec)
-    if n * width * 8 > MAX_LABEL_BYTES:
-        raise ValueError("label vocabulary is too large to send to every task")
+    if n * width * 8 > (VOCABULARY_BYTES if vocabulary_bytes is None else vocabulary_bytes):
+        return _classify_by_rows(items, label_vectors, feedback, id_col, vec, boost_floor, min_sim)
     table = vocabulary.orderBy("label_ord").toArrow()
     held = items.sparkSession.sparkContext.broadcast(K.unit(K.matrix(table.column(vec))))
     names = F.array(*[F.lit(x) for x in table.column("label").to_pylist()])
@@ -122,3 +124,27 @@ def classify(
     return top.select(
         "item_id", F.when(F.col("best") < min_sim, F.lit(FALLBACK_LABEL)).otherwise(label).alias("label")
     )
+
+
+def _classify_by_rows(
+    items: DataFrame, label_vectors: DataFrame, feedback: DataFrame | None, id_col: str, vec: str, boost_floor: float, min_sim: float
+) -> DataFrame:
+    """``classify`` with a row for each item and label, aggregated per item."""
+    sims = label_similarities(items, label_vectors, id_col=id_col, vec=vec)
+    if feedback is not None:
+        boosts = feedback_boosts(items, feedback, label_vectors, id_col=id_col, vec=vec, floor=boost_floor)
+        joined = sims.join(boosts, ["item_id", "label_ord"], "left")
+        sims = joined.select("item_id", "label_ord", (F.col("sim") + F.coalesce("boost", F.lit(0.0))).alias("sim"))
+    sims = cut(sims)
+    best = sims.groupBy("item_id").agg(F.max("sim").alias("best"))
+    weight = F.exp(F.lit(LOGIT_SCALE) * (F.col("sim") - F.col("best")))
+    weighed = sims.join(best, "item_id").withColumn("e", weight)
+    total = weighed.groupBy("item_id").agg(F.sum("e").alias("total"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("sim"), "label_ord"))
+    top = weighed.withColumn("rank", place).filter(F.col("rank") <= MAX_LABELS).join(total, "item_id")
+    p = F.col("e") / F.col("total")  # the best one weighs 1
+    kept = top.filter((F.col("e") >= REL_MARGIN) & ((p >= MIN_PROB) | (F.col("rank") == 1)))
+    named = kept.join(label_vectors.select(F.col("label_ord").cast("long").alias("label_ord"), "label"), "label_ord")
+    texts = named.groupBy("item_id", "best").agg(F.array_sort(F.collect_list(F.struct("rank", "label"))).alias("l"))
+    label = F.array_join(F.transform("l", lambda x: x["label"]), ", ")
+    return texts.select("item_id", F.when(F.col("best") < min_sim, F.lit(FALLBACK_LABEL)).otherwise(label).alias("label"))

@@ -19,7 +19,6 @@ from reelgraph.operators.ranking import with_row_number
 TOP_TAGS = 14
 MAX_EXPORT = 25
 COLUMNS = 5
-DEEP_PAGE = 100_000
 
 
 def first_per_key(df: DataFrame, key: Column | str, *order: Column | str) -> DataFrame:
@@ -90,10 +89,10 @@ def grid_rows(media: DataFrame, columns: int = COLUMNS, *, date: str = "date", o
     not one task.
     """
     dated = media.withColumn("date", F.coalesce(date, F.lit(RECENT)))
-    placed = with_row_number(dated, "date", order, name="_rn")
+    placed = with_row_number(dated.select("date", order), "date", order, name="_rn")
     start = placed.groupBy("date").agg(F.min("_rn").alias("_first"))
     offset = F.col("_rn") - F.col("_first")
-    return placed.join(start, "date").select(
+    return dated.join(placed.join(start, "date"), ["date", order]).select(
         *media.columns if "date" in media.columns else [*media.columns, "date"],
         F.floor(offset / columns).cast("long").alias("row"), (offset % columns).cast("long").alias("col"),
     )
@@ -102,13 +101,14 @@ def grid_rows(media: DataFrame, columns: int = COLUMNS, *, date: str = "date", o
 def page(df: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
     """One page of an ordered list (end the order on a unique key); the total is a separate ``count``.
 
-    The first pages are a top-k. Far into the list that would bring everything before the page to one task, so the
-    page is cut by position instead.
+    Only the order columns are placed, over range partitions; the rows of the page are then joined to them. So a page
+    far into the list costs what the first one does, and no task gets all that comes before it.
     """
-    if offset + limit <= DEEP_PAGE:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    placed = with_row_number(df, *order, name="_rn").filter(F.col("_rn").between(offset + 1, offset + limit))
-    return placed.drop("_rn").orderBy(*order)
+    places = with_row_number(df.select(*order), *order, name="_rn")
+    chosen = places.filter(F.col("_rn").between(offset + 1, offset + limit)).drop("_rn")
+    named = chosen.toDF(*(f"_o{k}" for k in range(len(order))))
+    same = [df[c].eqNullSafe(named[f"_o{k}"]) for k, c in enumerate(order)]
+    return df.join(named, same, "left_semi").orderBy(*order)
 
 
 def nth_by_id(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:

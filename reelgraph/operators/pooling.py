@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,14 +13,12 @@ from reelgraph.functions.vectors import as_double, l2_normalize
 def pool_vectors(
     df: DataFrame, keys: list[str], vec: str = "embedding", how: str = "avg", normalise: bool = True, eps: float = 0.0
 ) -> DataFrame:
-    """Mean (or sum) vector per group, by default scaled to unit length.
+    """Mean (or sum) vector per group, by default scaled to unit length; null vectors don't count.
 
-    Elements are aggregated per position, so every task sends one partial row per (group, position) however many
-    rows it holds; no group is collected.
+    The aggregate keeps one vector per group and task and merges them after the shuffle, so a task sends one row per
+    group however many rows it holds; no group is collected.
     """
-    combine = {"avg": F.avg, "sum": F.sum}[how]
-    elements = df.select(*keys, F.posexplode(as_double(vec)).alias("_pos", "_value"))
-    pooled = elements.groupBy(*keys, "_pos").agg(combine("_value").alias("_value"))
-    vectors = pooled.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_pos", "_value"))).alias("_parts"))
-    result = F.transform("_parts", lambda p: p["_value"])
-    return vectors.select(*keys, (l2_normalize(result, eps) if normalise else result).alias(vec))
+    combine = {"avg": Summarizer.mean, "sum": Summarizer.sum}[how]
+    rows = df.filter(F.size(vec) > 0).select(*keys, array_to_vector(as_double(vec)).alias("_vector"))
+    pooled = rows.groupBy(*keys).agg(vector_to_array(combine(F.col("_vector"))).alias("_pooled"))
+    return pooled.select(*keys, (l2_normalize("_pooled", eps) if normalise else F.col("_pooled")).alias(vec))

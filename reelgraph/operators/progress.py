@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,11 +74,3 @@ def fold_averages(state: DataFrame, observations: DataFrame, key: str = "job") -
 def images_per_second(observed: DataFrame, default: float = 4.0, key: str = "job") -> DataFrame:
     """The observed rate once there are three observations, else the default."""
     return observed.select(key, F.when(F.col("n") >= MIN_OBSERVATIONS, F.col("rate")).otherwise(F.lit(default)).alias("rate"))
-
-
-def average_step(mean: float | None, n: int, rates: pd.Series) -> tuple[float | None, int]:
-    """Fold a few observations into the running average; used as the update of streaming state."""
-    for rate in rates:
-        mean = float(rate) if mean is None else KEEP * mean + NEW * float(rate)
-        n += 1
-    return mean, n

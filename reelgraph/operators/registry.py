@@ -10,6 +10,8 @@ from reelgraph.functions.text import PLACEHOLDER_LABEL, basename, original_name,
 from reelgraph.operators.library import first_per_key
 from reelgraph.operators.ranking import with_row_number
 
+LAST_ID = "last_video_id"
+#: Fixed value: the model of vectors that were stored without one.
 LEGACY_MODEL_ID = "clip-vit-b32-int8"  # model of vectors that carry no record
 
 
@@ -103,6 +105,17 @@ def indexed_labels(files: DataFrame, videos: DataFrame, upload_dir: str = "uploa
     return keyed.select(*files.columns, F.when(by_place, first).otherwise(F.col("_l3")).alias("label"), hit.alias("indexed"))
 
 
+# ---------------------------------------------------------------- repeated keys
+
+
+def last_per_key(df: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """One row of each key: that with the greatest ``order``, or without one the greatest by all columns."""
+    rest = [c for c in df.columns if c != key]
+    whole = F.struct(*rest)
+    best = F.max(whole) if order is None else F.max_by(whole, F.struct(order, *[c for c in rest if c != order]))
+    return df.groupBy(key).agg(best.alias("_last")).select(*[F.col(key) if c == key else F.col(f"_last.{c}") for c in df.columns])
+
+
 # ---------------------------------------------------------------- reconcile with files
 
 
@@ -116,11 +129,18 @@ def reconcile_videos(videos: DataFrame, files: DataFrame, thumbnails: DataFrame)
         "id", F.col("path").alias("old_path"), basename(F.col("path")).alias("file_name"), "label",
         F.col("embedding").isNotNull().alias("_has_vector"),
     )
-    disk = files.select(F.col("path").alias("new_path"), basename(F.col("path")).alias("file_name"))
+    # One path of each name: the row's own where it is among the files, else the smallest.
+    named = files.select("path", basename(F.col("path")).alias("file_name"))
+    own = rows.select(F.col("old_path").alias("path")).distinct().withColumn("_own", F.lit(True))
+    disk = named.join(own, "path", "left").groupBy("file_name").agg(
+        F.min("path").alias("_least"), F.collect_set(F.when(F.col("_own"), F.col("path"))).alias("_owned")
+    )
     thumbs = thumbnails.select(stem(F.col("path")).alias("_stem"), F.lit(True).alias("_thumb")).distinct()
-    both = rows.join(disk, "file_name", "full_outer").withColumn("_stem", stem(F.col("file_name"))).join(
-        thumbs, "_stem", "left"
+    stays = F.coalesce(F.array_contains("_owned", F.col("old_path")), F.lit(False))
+    paired = rows.join(disk, "file_name", "full_outer").withColumn(
+        "new_path", F.when(stays, F.col("old_path")).otherwise(F.col("_least"))
     )
+    both = paired.withColumn("_stem", stem(F.col("file_name"))).join(thumbs, "_stem", "left")
     incomplete = (
         ~F.col("_has_vector")
         | F.coalesce(F.col("label").isin(PLACEHOLDER_LABEL, "unknown"), F.lit(False))
@@ -205,10 +225,14 @@ def deletion_targets(videos: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def zip_by_position(vectors: DataFrame, paths: DataFrame) -> DataFrame:
-    """Vectors and paths with the same ``seq``; unequal counts are an error."""
-    n_vectors, n_paths = vectors.count(), paths.count()
-    if n_vectors != n_paths:
-        raise ValueError(f"{n_vectors} vectors but {n_paths} paths")
+    """Vectors and paths with the same ``seq``; a position that only one side has, or has twice, is an error."""
+    sides = vectors.select("seq", F.lit(1).alias("v"), F.lit(0).alias("p")).unionByName(
+        paths.select("seq", F.lit(0).alias("v"), F.lit(1).alias("p"))
+    )
+    wrong = sides.groupBy("seq").agg(F.sum("v").alias("v"), F.sum("p").alias("p")).filter("v <> 1 or p <> 1")
+    bad = wrong.agg(F.count(F.lit(1)), F.min("seq")).first()
+    if bad[0]:
+        raise ValueError(f"{bad[0]} positions without one vector and one path each, the first {bad[1]}")
     return paths.join(vectors, "seq")
 
 
@@ -259,14 +283,16 @@ def deduplicate_videos(
 
 
 def upsert_videos(
-    videos: DataFrame, incoming: DataFrame, faces: DataFrame, persons: DataFrame
+    videos: DataFrame, incoming: DataFrame, faces: DataFrame, persons: DataFrame, meta: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Insert or update by file name: (videos, faces, persons).
 
-    ``incoming`` (path, label, embedding, frames, one row per file name) replaces path, label and vector of the row
-    of that name; frames stay when the new ones are missing. Faces of an updated video are cleared. New rows get ids
-    after the largest one, in path order.
+    ``incoming`` (path, label, embedding, frames) replaces path, label and vector of the row of that name; of several
+    rows of one name the greatest path counts. Frames stay when the new ones are missing. Faces of an updated video are
+    cleared. New rows get ids after the largest one, in path order, and after the one that ``meta`` remembers, so ids of
+    deleted rows are never used again; put ``with_last_id(meta, videos)`` by with the result.
     """
+    incoming = last_per_key(incoming.withColumn("_file", basename(F.col("path"))), "_file", "path").drop("_file")
     named = videos.withColumn("_name", basename(F.col("path")))
     fresh = incoming.select(
         basename(F.col("path")).alias("_name"), F.col("path").alias("_path"), F.col("label").alias("_label"),
@@ -284,8 +310,12 @@ def upsert_videos(
         F.coalesce("_frames", "frames").alias("frames"),
         *others,
     )
-    last = videos.agg(F.coalesce(F.max("id"), F.lit(0)))
-    added = with_row_number(both.filter("id is null").select("_path", "_label", "_embedding", "_frames"), "_path", name="_n")
+    last = videos.select(F.col("id").cast("long").alias("id"))
+    if meta is not None:
+        last = last.unionByName(meta.filter(F.col("key") == LAST_ID).select(F.col("value").cast("long").alias("id")))
+    last = last.agg(F.coalesce(F.max("id"), F.lit(0)))
+    new = both.filter("id is null").select("_path", "_label", "_embedding", "_frames")
+    added = new.join(with_row_number(new.select("_path"), "_path", name="_n"), "_path")
     inserted = added.select(
         (last.scalar() + F.col("_n")).alias("id"), F.col("_path").alias("path"), F.col("_label").alias("label"),
         F.col("_embedding").alias("embedding"), F.col("_frames").alias("frames"),
@@ -296,9 +326,21 @@ def upsert_videos(
     return new_videos, new_faces, without_orphans(persons, new_faces)
 
 
+def with_last_id(meta: DataFrame, videos: DataFrame) -> DataFrame:
+    """``meta`` with the largest video id so far; ``emptied`` tables start again without it."""
+    ids = videos.select(F.col("id").cast("long").alias("id")).unionByName(
+        meta.filter(F.col("key") == LAST_ID).select(F.col("value").cast("long").alias("id"))
+    )
+    entry = ids.agg(F.max("id").cast("string").alias("value")).filter("value is not null")
+    return set_meta(meta, entry.select(F.lit(LAST_ID).alias("key"), "value"))
+
+
 def update_vectors(videos: DataFrame, results: DataFrame) -> DataFrame:
-    """Finished analyses (id, label, embedding, frames) written into existing rows; faces are not involved."""
-    new = results.select(
+    """Finished analyses (id, label, embedding, frames) written into existing rows; faces are not involved.
+
+    Of several analyses of one id the greatest by all columns counts.
+    """
+    new = last_per_key(results, "id").select(
         "id", F.col("label").alias("_label"), F.col("embedding").alias("_embedding"), F.col("frames").alias("_frames"),
         F.lit(True).alias("_hit"),
     )
@@ -313,12 +355,13 @@ def update_vectors(videos: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def correct_labels(videos: DataFrame, feedback: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(videos, feedback) after corrections (video_id, corrected_label, created_at), one per video."""
+    """(videos, feedback) after corrections (video_id, corrected_label, created_at): the last counts, all are learned."""
     rows = corrections.join(videos.select(F.col("id").alias("video_id"), "embedding"), "video_id")
     learned = rows.filter(F.col("embedding").isNotNull()).select(
         "video_id", "corrected_label", "embedding", "created_at"
     )
-    changed = corrections.select(F.col("video_id").alias("id"), F.col("corrected_label").alias("_label"))
+    final = last_per_key(corrections.select("video_id", "corrected_label", "created_at"), "video_id", "created_at")
+    changed = final.select(F.col("video_id").alias("id"), F.col("corrected_label").alias("_label"))
     relabelled = videos.join(changed, "id", "left").withColumn("label", F.coalesce("_label", "label"))
     return relabelled.select(*videos.columns), feedback.unionByName(learned, allowMissingColumns=True)
 
@@ -348,7 +391,7 @@ def emptied(*tables: DataFrame) -> tuple[DataFrame, ...]:
 
 def repoint(videos: DataFrame, conversions: DataFrame) -> DataFrame:
     """New paths after conversion: rows whose file name is that of ``old_path`` move to ``new_path``."""
-    moves = conversions.select(basename(F.col("old_path")).alias("_name"), F.col("new_path").alias("_to"))
+    moves = last_per_key(conversions.select(basename(F.col("old_path")).alias("_name"), F.col("new_path").alias("_to")), "_name")
     return videos.withColumn("_name", basename(F.col("path"))).join(moves, "_name", "left").withColumn(
         "path", F.coalesce("_to", "path")
     ).select(*videos.columns)
@@ -363,8 +406,9 @@ def video_vectors(videos: DataFrame) -> DataFrame:
 
 
 def rename_people(people: DataFrame, renames: DataFrame, key: str = "person_id") -> DataFrame:
-    """Names from ``renames`` (key, new_name); unknown keys change nothing."""
-    return people.join(renames.select(key, "new_name"), key, "left").withColumn(
+    """Names from ``renames`` (key, new_name); unknown keys change nothing, of several names the greatest counts."""
+    final = last_per_key(renames.select(key, "new_name"), key)
+    return people.join(final, key, "left").withColumn(
         "name", F.coalesce("new_name", "name")
     ).select(*people.columns)
 
@@ -423,7 +467,8 @@ def get_meta(meta: DataFrame, key: str, default: str | None = None) -> str | Non
 
 
 def set_meta(meta: DataFrame, entries: DataFrame) -> DataFrame:
-    """Upsert (key, value) rows."""
+    """Upsert (key, value) rows; of several values of a key the greatest counts."""
+    entries = last_per_key(entries.select("key", "value"), "key")
     return meta.join(entries.select("key"), "key", "left_anti").unionByName(entries)
 
 

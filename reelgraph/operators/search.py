@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from reelgraph.operators import kernels as K
 
-MIN_SCORE = 0.20        # below this nothing plausibly matches
-RELATIVE_CUTOFF = 0.88  # keep results within 12 % of the best one
-MIN_RESULTS = 8         # but at least this many above the floor
+#: Fixed values of the search rules.
+MIN_SCORE = 0.20
+RELATIVE_CUTOFF = 0.88
+MIN_RESULTS = 8
 MIN_CANDIDATES = 40
 POOL_TAU = 0.02
 
 
 def knn(
     queries: DataFrame, vectors: DataFrame, k: int = 20, *, query_id: str = "query_id", id_col: str = "seq",
-    vec: str = "embedding", broadcast_bytes: int | None = None,
+    vec: str = "embedding", broadcast_bytes: int | None = None, part_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score, rank): the k rows of highest cosine per query, ties to the smallest id.
 
@@ -26,7 +27,7 @@ def knn(
         queries.select(F.col(query_id).cast("long").alias("_q"), F.col(vec)),
         vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec)),
         K.best_k(k), "query_id long, id long, score double", small_keys=["_q"], large_keys=["_id"], vec=vec,
-        broadcast_bytes=broadcast_bytes,
+        broadcast_bytes=broadcast_bytes, part_rows=part_rows,
     )
     by_score = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return parts.withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
@@ -62,7 +63,7 @@ def photo_search(
 
 def smooth_max_scores(
     queries: DataFrame, frames: DataFrame, *, tau: float = POOL_TAU, query_id: str = "query_id",
-    video_id: str = "video_id", vec: str = "embedding", broadcast_bytes: int | None = None,
+    video_id: str = "video_id", vec: str = "embedding", broadcast_bytes: int | None = None, part_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, id, score) with ``tau * ln(mean(exp((s - max) / tau))) + max`` over the frames of a video.
 
@@ -73,8 +74,7 @@ def smooth_max_scores(
         queries.select(F.col(query_id).cast("long").alias("_q"), F.col(vec)),
         frames.select(F.col(video_id).cast("long").alias("_video"), F.col(vec)),
         K.pooled_parts(tau), "query_id long, video_id long, top double, mass double, n long",
-        small_keys=["_q"], large_keys=["_video"], vec=vec, broadcast_bytes=broadcast_bytes, dense=True,
-        repeated="large",
+        small_keys=["_q"], large_keys=["_video"], vec=vec, broadcast_bytes=broadcast_bytes, part_rows=part_rows,
     )
     video = Window.partitionBy("query_id", "video_id")
     based = parts.withColumn("_max", F.max("top").over(video))
@@ -88,18 +88,18 @@ def smooth_max_scores(
 
 def video_search(
     queries: DataFrame, frames: DataFrame, *, threshold: float = MIN_SCORE, query_id: str = "query_id",
-    video_id: str = "video_id", vec: str = "embedding", broadcast_bytes: int | None = None,
+    video_id: str = "video_id", vec: str = "embedding", broadcast_bytes: int | None = None, part_rows: int | None = None,
 ) -> DataFrame:
     """Text-to-video search over frame vectors: every video is scored, no limit and no candidate cap."""
     scored = smooth_max_scores(
-        queries, frames, query_id=query_id, video_id=video_id, vec=vec, broadcast_bytes=broadcast_bytes
+        queries, frames, query_id=query_id, video_id=video_id, vec=vec, broadcast_bytes=broadcast_bytes, part_rows=part_rows,
     )
     return cutoff(scored, threshold)
 
 
 def target_ranks(
     queries: DataFrame, vectors: DataFrame, *, query_id: str = "query_id", target: str = "target",
-    id_col: str = "seq", vec: str = "embedding", broadcast_bytes: int | None = None,
+    id_col: str = "seq", vec: str = "embedding", broadcast_bytes: int | None = None, part_rows: int | None = None,
 ) -> DataFrame:
     """(query_id, rank) of the one relevant item of each query.
 
@@ -114,7 +114,7 @@ def target_ranks(
     parts = K.join_scores(
         both, vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec)), K.ahead_of_target(),
         "query_id long, ahead long", small_keys=["_q", "_t"], large_keys=["_id"], vec=vec, normalise=False,
-        broadcast_bytes=broadcast_bytes,
+        broadcast_bytes=broadcast_bytes, part_rows=part_rows,
     )
     return parts.groupBy("query_id").agg((F.sum("ahead") + 1).alias("rank"))
 

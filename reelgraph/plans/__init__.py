@@ -1,6 +1,7 @@
 """Plans over the sample tables: each registered query runs one operator on whole tables, most with an SQL twin."""
 
 from reelgraph.plans import (  # noqa: F401
+    chunked,
     clusters,
     columns,
     evaluations,

@@ -31,6 +31,28 @@ LEADER_SQL = PAIR_SQL + """,
     clusters AS (SELECT seq, leader FROM joined WHERE r = 1 UNION ALL SELECT leader, leader FROM leaders)"""
 
 
+def linkage_sql(table: str, threshold: float) -> str:
+    """Average linkage by hand: each step merges the best pair of clusters. ``merged`` is (seq, label), the least member."""
+    return f"""
+    duos AS MATERIALIZED (SELECT a.seq AS a, b.seq AS b, list_dot_product(a.u, b.u) AS s FROM {table} a JOIN {table} b ON a.seq < b.seq),
+    merges AS (SELECT 0 AS step, seq, seq AS label FROM {table}
+        UNION ALL /* step */
+        SELECT w.step + 1, w.seq, CASE WHEN w.label = m.hi THEN m.lo ELSE w.label END FROM merges w, (
+            SELECT least(x.label, y.label) AS lo, greatest(x.label, y.label) AS hi
+            FROM duos p JOIN merges x ON x.seq = p.a JOIN merges y ON y.seq = p.b WHERE x.label <> y.label
+            GROUP BY 1, 2 HAVING avg(p.s) > {threshold} ORDER BY avg(p.s) DESC, 1, 2 LIMIT 1) m),
+    merged AS (SELECT seq, label FROM merges WHERE step = (SELECT max(step) FROM merges))"""
+
+
+#: Leaders at 0.35, the linkage of their centroids at 0.30, labels in the order of the least member.
+TWO_STAGE_SQL = LEADER_SQL + """,
+    parts AS (SELECT leader, pos, sum(x) AS x FROM clusters JOIN elements USING (seq) GROUP BY leader, pos),
+    means AS (SELECT leader AS seq, list(x ORDER BY pos) AS m FROM parts GROUP BY leader),
+    centers AS (SELECT seq, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM means),""" + linkage_sql("centers", 0.30) + """,
+    grouped AS (SELECT c.seq, m.label AS cluster FROM clusters c JOIN merged m ON m.seq = c.leader),
+    labelled AS (SELECT seq, dense_rank() OVER (ORDER BY cluster) - 1 AS label, count(*) OVER (PARTITION BY cluster) AS n FROM grouped)"""
+
+
 @query("similar_pairs", "C2", f"""
     WITH {PAIR_SQL} SELECT src, dst, round(sim, 6) AS sim FROM pairs WHERE sim >= 0.35""", "vectors")
 def _(t):
@@ -48,12 +70,13 @@ def _(t):
     return C.greedy_leader_clusters(t.vectors, 0.35)
 
 
-@query("merged_clusters", "F3", None)
+@query("merged_clusters", "F3", f"WITH {linkage_sql('vectors', 0.40)} SELECT seq, label AS merged FROM merged", "vectors")
 def _(t):
     return C.average_linkage(t.unit_vectors, 0.40, id_col="seq")
 
 
-@query("two_stage_clusters", "F4 D2", None)
+@query("two_stage_clusters", "F4 D2", f"""
+    WITH {TWO_STAGE_SQL} SELECT seq, CASE WHEN n >= 2 THEN label ELSE -1 END::BIGINT AS label FROM labelled""", "vectors elements")
 def _(t):
     return C.two_stage_clusters(t.vectors, threshold=0.35, merge_threshold=0.30, min_cluster_size=2)
 

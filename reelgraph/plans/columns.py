@@ -18,17 +18,27 @@ def long(c):
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
-@query("clean_queries", "B3", """
-    SELECT conv_id, turn, md5(lower(trim(text, ' '))) AS digest FROM conversations WHERE trim(text, ' ') <> ''""")
+@query("clean_queries", "B3", r"""
+    WITH q AS (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN chr(9) || text || chr(10) WHEN 1 THEN ' ' || chr(10) || chr(160) ELSE text END AS text
+               FROM conversations),
+    s AS (SELECT conv_id, turn, lower(regexp_replace(text, '^[\s\x0B\x{A0}]+|[\s\x0B\x{A0}]+$', '', 'g')) AS text FROM q)
+    SELECT conv_id, turn, md5(text) AS digest FROM s WHERE text <> ''""")
 def _(t):
-    return X.clean_queries(t.read("conversations")).select("conv_id", "turn", F.md5("text").alias("digest"))
+    # A third of the queries stands between a tab and a line end, another third is white space alone.
+    text = (
+        F.when(F.col("turn") % 3 == 0, F.concat(F.lit("\t"), "text", F.lit("\n")))
+        .when(F.col("turn") % 3 == 1, F.lit(" \n\u00a0")).otherwise(F.col("text"))
+    )
+    rows = t.read("conversations").withColumn("text", text)
+    return X.clean_queries(rows).select("conv_id", "turn", F.md5("text").alias("digest"))
 
 
-_PROMPT_SQL = """
-    WITH q AS (SELECT p_partkey * 4 AS query_id, ' ' || p_name AS text FROM part UNION ALL SELECT p_partkey * 4 + 1, p_type FROM part
+_PROMPT_SQL = r"""
+    WITH q AS (SELECT p_partkey * 4 AS query_id, ' ' || chr(9) || p_name || chr(10) AS text FROM part UNION ALL SELECT p_partkey * 4 + 1, p_type FROM part
         UNION ALL SELECT p_partkey * 4 + 2, 'A photo of ' || p_name FROM part
         UNION ALL SELECT p_partkey * 4 + 3, upper(p_name) FROM part),
-    w AS (SELECT query_id, trim(text) AS q, left(trim(text), 1) AS c FROM q),
+    s AS (SELECT query_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS q FROM q),
+    w AS (SELECT query_id, q, left(q, 1) AS c FROM s),
     a AS (SELECT *, CASE WHEN lower(c) IN ('a','e','i','o','u') THEN 'an ' ELSE 'a ' END || q AS aq FROM w),
     l AS (SELECT query_id, CASE
         WHEN lower(q) LIKE 'a photo of%' OR lower(q) LIKE 'a picture of%' THEN [q]
@@ -42,7 +52,7 @@ _PROMPT_SQL = """
 def part_queries(t):
     p = t.read("part")
     texts = F.array(
-        F.concat(F.lit(" "), "p_name"), F.col("p_type"), F.concat(F.lit("A photo of "), "p_name"), F.upper("p_name")
+        F.concat(F.lit(" \t"), "p_name", F.lit("\n")), F.col("p_type"), F.concat(F.lit("A photo of "), "p_name"), F.upper("p_name")
     )
     rows = p.select("p_partkey", F.posexplode(texts).alias("i", "text"))
     return rows.select((F.col("p_partkey") * 4 + F.col("i")).alias("query_id"), "text")

@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgraph.functions.text import clean_queries, expand_queries
+from reelgraph.functions.text import PLACEHOLDER_LABEL, basename, clean_queries, expand_queries
 from reelgraph.operators import identity as I
 from reelgraph.operators import labeling as L
 from reelgraph.operators import library as LB
 from reelgraph.operators import registry as R
 from reelgraph.operators import search as S
-from reelgraph.operators.frames import keyframes, pack_video_frames
+from reelgraph.operators.frames import keyframes, pack_video_frames, spread_frames
 from reelgraph.operators.pooling import pool_vectors
 from reelgraph.operators.ranking import with_row_number
 from reelgraph.session import cut
@@ -77,13 +77,17 @@ def index_photos(
 ) -> PhotoTables:
     """One indexing pass over ``photos`` (path, modification_time, length, content).
 
-    Rows of removed files go, new files are scanned for faces and embedded, and people are rebuilt when the faces
-    changed. ``detect`` maps new photos to detections (path, det_ord, x1, y1, x2, y2, embedding); photos without one
+    Time-stamped duplicates of photos that are there are left out, rows of removed files go, new files are scanned for
+    faces and embedded, and people are rebuilt when the faces changed. ``detect`` maps new photos to detections (path, det_ord, x1, y1, x2, y2, embedding); photos without one
     are remembered by signature.
     """
+    copies = R.duplicate_files(photos).filter("action = 'remove'").select(F.col("name").alias("_name"))
+    photos = photos.withColumn("_name", basename(F.col("path"))).join(copies, "_name", "left_anti").drop("_name")
     signatures = SF.file_signatures(photos)
     faces = R.live_rows(tables.face_vectors, photos)
-    semantic = R.live_rows(tables.semantic_vectors, photos)
+    # Vectors of another model are dropped and their files embedded again, so an index never mixes two spaces.
+    semantic, _ = R.split_by_model(R.live_rows(tables.semantic_vectors, photos), model_id)
+    semantic = cut(semantic)
     new = R.unscanned(signatures, faces, tables.scanned_empty)
     largest = cut(SF.largest_faces(detect(photos.join(new.select("path"), "path", "left_semi"))))
     empty = new.join(largest.select("path"), "path", "left_anti")
@@ -107,8 +111,10 @@ def analyse_videos(
 ) -> DataFrame:
     """(id, label, embedding, frames) of the videos in ``frames`` (video_id, frame_idx, hist, content).
 
-    Keyframes are encoded, pooled to one vector and labelled; the result goes to ``registry.update_vectors``.
+    At most 14 evenly spread frames of a video are looked at; its keyframes are encoded, pooled to one vector and
+    labelled. The result goes to ``registry.update_vectors``.
     """
+    frames = spread_frames(frames)
     kept = frames.join(keyframes(frames), ["video_id", "frame_idx"], "left_semi")
     keyed = kept.select(F.struct("video_id", "frame_idx").alias("frame"), "content")
     text_key = keyed.select(F.to_json("frame").alias("frame"), "content")
@@ -122,3 +128,49 @@ def analyse_videos(
     return pooled.join(known, "id", "left_semi").join(labels, "id").join(packed, "id").select(
         "id", "label", "embedding", "frames"
     )
+
+
+@dataclass(frozen=True)
+class VideoTables:
+    """The video registry, as a pass reads and returns it."""
+
+    videos: DataFrame
+    faces: DataFrame
+    persons: DataFrame
+    meta: DataFrame
+
+
+def index_videos(
+    tables: VideoTables, files: DataFrame, thumbnails: DataFrame, frames: DataFrame, detections: DataFrame, images: Factory,
+    label_vectors: DataFrame, feedback: DataFrame | None = None,
+) -> VideoTables:
+    """One pass over the video folder: reconcile, analyse what is new or incomplete, link its faces, rebuild people once.
+
+    ``frames`` (file_name, frame_idx, hist, content) and ``detections`` (file_name and the columns of DETECTIONS without
+    video_id) come from the files to analyse. People are rebuilt at the end, when all videos of the pass are in.
+    """
+    actions = cut(R.reconcile_videos(tables.videos, files, thumbnails))
+    videos, faces, persons = R.apply_reconciliation(actions, tables.videos, tables.faces, tables.persons)
+    added = actions.filter("action = 'add'").select(
+        F.col("new_path").alias("path"), F.lit(PLACEHOLDER_LABEL).alias("label"), F.lit(None).cast("array<double>").alias("embedding"),
+        F.lit(None).cast("binary").alias("frames"),
+    )
+    videos, faces, persons = (cut(x) for x in R.upsert_videos(videos, added, faces, persons, tables.meta))
+    meta = cut(R.with_last_id(tables.meta, videos))
+    todo = actions.filter("action in ('add', 'requeue')").select("file_name")
+    ids = cut(videos.select(F.col("id").alias("video_id"), basename(F.col("path")).alias("file_name")).join(todo, "file_name", "left_semi"))
+    results = cut(analyse_videos(videos, frames.join(ids, "file_name"), images, label_vectors, feedback))
+    videos = cut(R.update_vectors(videos, results))
+    faces = faces.join(ids.select("video_id"), "video_id", "left_anti").select(*faces.columns)
+    next_person = persons.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
+    next_face = faces.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    linked, fresh = I.link_faces(detections.join(ids, "file_name"), faces, next_person)
+    numbered = with_row_number(cut(linked), "det_id", name="_n")
+    new_faces = numbered.select(
+        (F.lit(next_face) + F.col("_n")).alias("id"), "video_id", "person_id", "embedding",
+        F.lit(None).cast("string").alias("thumbnail_path"), F.col("det_score").alias("confidence"), F.col("yaw").alias("pose_yaw"),
+    )
+    every = cut(R.add_face(faces, new_faces).select(*faces.columns))
+    people = persons.unionByName(fresh, allowMissingColumns=True)
+    new_persons, rebuilt = I.rebuild_video_people(every, people)
+    return VideoTables(videos, cut(rebuilt), cut(new_persons), meta)

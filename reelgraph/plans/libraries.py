@@ -143,11 +143,12 @@ def _(t):
 
 
 @query("merged_results", "G3", """
-    SELECT user_id AS query_id, event_id AS id, value AS score, 'photo' AS media_type FROM events WHERE event_type = 'view'
-    UNION ALL SELECT user_id, event_id, value, 'video' FROM events WHERE event_type = 'click'""")
+    SELECT user_id AS query_id, event_id AS id, value AS score, 'photo' AS media_type FROM events WHERE event_type IN ('view', 'error')
+    UNION ALL SELECT user_id, event_id, value, 'video' FROM events WHERE event_type NOT IN ('view', 'error')""")
 def _(t):
     hits = t.read("events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("id"), F.col("value").alias("score"), "event_type")
-    photos, videos = (hits.filter(F.col("event_type") == e).drop("event_type") for e in ("view", "click"))
+    photo = F.col("event_type").isin("view", "error")
+    photos, videos = (hits.filter(side).drop("event_type") for side in (photo, ~photo))
     return L.merged_results(photos, videos)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.operators import identity as I
 from reelgraph.plans.catalog import query
-from reelgraph.plans.clusters import COMPONENT_SQL, PAIR_SQL
+from reelgraph.plans.clusters import COMPONENT_SQL, PAIR_SQL, TWO_STAGE_SQL
 
 # Vectors as faces: label is the person, confidence and yaw come from the id.
 _FACES = """
@@ -90,14 +90,15 @@ def _(t):
 
 
 def _labelled(t):
-    return t.read("events").filter("event_type = 'click'").select(
-        F.col("user_id").alias("label"), F.col("props").alias("path"), F.col("event_id").alias("seq")
+    # Clicks name a person, other events the one a few numbers on.
+    return t.read("events").select(
+        F.when(F.col("event_type") == "click", F.col("user_id")).otherwise(F.col("user_id") + 7).alias("label"), F.col("props").alias("path"), F.col("event_id").alias("seq")
     )
 
 
 @query("saved_people", "D12 B24", """
     SELECT person_id, CASE WHEN (name IS NULL OR name = 'Unknown') AND person_id IN (
-        SELECT 'Person_' || user_id FROM events WHERE event_type = 'click') THEN 'Person ' || (substr(person_id, 8)::BIGINT + 1) ELSE name END AS name
+        SELECT 'Person_' || CASE event_type WHEN 'click' THEN user_id ELSE user_id + 7 END FROM events) THEN 'Person ' || (substr(person_id, 8)::BIGINT + 1) ELSE name END AS name
     FROM people""", "people")
 def _(t):
     return I.save_people(t.people, t.person_photos, _labelled(t))[0]
@@ -105,14 +106,16 @@ def _(t):
 
 @query("saved_photos", "D12", """
     WITH old AS (SELECT person_id, path, min(seq) AS seq FROM person_photos GROUP BY ALL),
-    new AS (SELECT 'Person_' || user_id AS person_id, props AS path, min(event_id) AS seq FROM events WHERE event_type = 'click' GROUP BY ALL),
+    new AS (SELECT 'Person_' || CASE event_type WHEN 'click' THEN user_id ELSE user_id + 7 END AS person_id, props AS path, min(event_id) AS seq FROM events GROUP BY ALL),
     last AS (SELECT person_id, max(seq) AS l FROM person_photos GROUP BY person_id)
     FROM old UNION ALL SELECT person_id, path, seq + coalesce(l + 1, 0) FROM new LEFT JOIN last USING (person_id)""", "person_photos")
 def _(t):
     return I.save_people(t.people, t.person_photos, _labelled(t))[1]
 
 
-@query("rebuilt_photo_people", "F5", None)
+@query("rebuilt_photo_people", "F5", f"""
+    WITH {TWO_STAGE_SQL} SELECT 'Person_' || label AS person_id, 'item_' || seq || '.jpg' AS path, seq, 'Person ' || (label + 1) AS name
+    FROM labelled""", "vectors elements")
 def _(t):
     people, photos = I.rebuild_photo_people(t.vectors, threshold=0.35, merge_threshold=0.30)
     return photos.join(people, "person_id")

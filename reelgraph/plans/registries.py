@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.operators import registry as R
 from reelgraph.plans.catalog import query
+from reelgraph.plans.tables import scratch
 from reelgraph.sources import vector_table as VT
 
 
@@ -253,16 +254,22 @@ def _incoming(t):
     path = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(F.lit("new/add_"), key, F.lit(".mp4"))).otherwise(
         F.concat(F.lit("new/clip_"), key, F.lit(".mp4"))
     )
-    return t.read("customer").filter("c_acctbal > 5000").select(
+    # Every customer sends a file; those of a segment send it twice, the later path counts.
+    c = t.read("customer")
+    again = c.filter("c_mktsegment = 'MACHINERY'").select(
+        F.concat(F.lit("early/clip_"), F.col("c_custkey"), F.lit(".mp4")).alias("path"), F.lit("stale").alias("label"),
+        F.lit(None).cast("array<double>").alias("embedding"), F.lit(None).cast("binary").alias("frames"),
+    )
+    return again.unionByName(c.select(
         path.alias("path"), F.lit("fresh").alias("label"), F.lit(None).cast("array<double>").alias("embedding"),
         F.lit(None).cast("binary").alias("frames"),
-    )
+    ))
 
 
 _UPSERT = """
     base AS (SELECT * FROM videos WHERE id IN (SELECT min(id) FROM videos GROUP BY path)),
     fresh AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'new/add_' ELSE 'new/clip_' END || c_custkey || '.mp4' AS path
-              FROM customer WHERE c_acctbal > 5000),
+              FROM customer),
     hits AS (SELECT b.id, f.path FROM base b JOIN fresh f ON split_part(f.path, '/', -1) = split_part(b.path, '/', -1)),
     added AS (SELECT path FROM fresh WHERE path NOT IN (SELECT path FROM hits))"""
 
@@ -326,11 +333,26 @@ def _(t):
     return R.created_within(events, 36, now).select("id")
 
 
-@query("emptied_registry", "H11", """
-    SELECT id, path, label FROM videos WHERE false""", "videos")
+@query("emptied_registry", "H11 H1", """
+    SELECT row_number() OVER (ORDER BY path) AS id, path, 'fresh' AS label FROM (
+        SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'new/add_' ELSE 'new/clip_' END || c_custkey || '.mp4' AS path FROM customer)""")
+def _(t):
+    videos = t.videos.withColumn("frames", F.lit(None).cast("binary"))
+    empty = R.emptied(videos, t.faces, t.persons)
+    filled = R.upsert_videos(empty[0], _incoming(t), empty[1], empty[2])[0]
+    return filled.select(F.col("id").cast("long").alias("id"), "path", "label")
+
+
+@query("ids_never_reused", "H1 H12", """
+    WITH base AS (SELECT max(id) AS last FROM videos WHERE id IN (SELECT min(id) FROM videos GROUP BY path)),
+    fresh AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'new/add_' ELSE 'new/clip_' END || c_custkey || '.mp4' AS path FROM customer)
+    SELECT last + row_number() OVER (ORDER BY path) AS id, path FROM fresh, base""", "videos")
 def _(t):
-    videos, faces, persons = R.emptied(t.videos, t.faces, t.persons)
-    return videos.select("id", "path", "label")
+    videos = _unique_videos(t)
+    meta = R.with_last_id(t.spark.createDataFrame([], "key string, value string"), videos)
+    gone = R.delete_videos(videos, t.faces, t.persons, videos.select("id"))
+    filled = R.upsert_videos(gone[0], _incoming(t), gone[1], gone[2], meta)[0]
+    return filled.select(F.col("id").cast("long").alias("id"), "path")
 
 
 @query("meta_upsert", "H12", """
@@ -378,8 +400,10 @@ def _(t):
     SELECT seq, path, 'semantic' AS kind, CASE WHEN label < 5 THEN 'model-a' ELSE 'model-b' END AS model_id,
            round(list_dot_product(u, u), 4) AS squared FROM vectors""", "vectors")
 def _(t):
-    a = VT.as_stored(t.vectors.filter("label < 5"), "semantic", "model-a")
-    both = a.unionByName(VT.as_stored(t.vectors.filter("label >= 5"), "semantic", "model-b"))
+    out = scratch(t)
+    VT.write_vectors(t.vectors.filter("label < 5"), out, "semantic", "model-a", mode="overwrite")
+    VT.write_vectors(t.vectors.filter("label >= 5"), out, "semantic", "model-b", mode="append")
+    both = VT.read_vectors(t.spark, out, "semantic", "model-a").unionByName(VT.read_vectors(t.spark, out, "semantic", "model-b"))
     squared = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return both.select("seq", "path", "kind", "model_id", F.round(squared, 4).alias("squared"))
 
@@ -434,15 +458,16 @@ def _(t):
 
 
 @query("tables_after_photo_deletion", "H8", f"""
-    WITH {_REMOVED} SELECT 'manifest' AS part, count(*) AS n FROM person_photos WHERE path IN (FROM live)
-    UNION ALL SELECT 'vectors', count(*) FROM vectors WHERE 'photo_' || seq || '.jpg' NOT IN (FROM removed)
-    UNION ALL SELECT 'people', count(*) FROM people WHERE person_id NOT IN (
+    WITH {_REMOVED} SELECT 'manifest' AS part, path AS key FROM person_photos WHERE path IN (FROM live)
+    UNION ALL SELECT 'vectors', 'photo_' || seq || '.jpg' FROM vectors WHERE 'photo_' || seq || '.jpg' NOT IN (FROM removed)
+    UNION ALL SELECT 'people', person_id FROM people WHERE person_id NOT IN (
         SELECT person_id FROM person_photos GROUP BY person_id HAVING bool_and(path IN (FROM removed)))
-    UNION ALL SELECT 'person_photos', count(*) FROM person_photos WHERE path IN (FROM live)""", "person_photos live people vectors")
+    UNION ALL SELECT 'person_photos', person_id || ' ' || path FROM person_photos WHERE path IN (FROM live)""", "person_photos live people vectors")
 def _(t):
     vectors = t.vectors.select(F.concat(F.lit("photo_"), F.col("seq"), F.lit(".jpg")).alias("path"))
     out = R.delete_photos(t.person_photos.select("path"), vectors, t.people, t.person_photos, _removed(t))
-    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n") for name, df in out.items()]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+    keys = {"manifest": "path", "vectors": "path", "people": "person_id", "person_photos": F.concat_ws(" ", "person_id", "path")}
+    parts = [out[n].select(F.lit(n).alias("part"), (F.col(k) if isinstance(k, str) else k).alias("key")) for n, k in keys.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 

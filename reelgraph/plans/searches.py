@@ -54,6 +54,48 @@ def _(t):
     return found.select("query_id", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: Vectors drawn towards their centroid, so that many are nearly as good as the best and the relative rule decides.
+_CLOSE = """
+    near AS (SELECT v.seq, v.label, list_transform(range(1, 65), lambda i: u[i] + 0.6 * c[i]) AS w
+             FROM vectors v JOIN centroids k ON k.label = v.label),
+    drawn AS (SELECT seq, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS u FROM near)"""
+
+
+def _drawn(t):
+    center = F.col("c")
+    moved = F.zip_with("embedding", center, lambda x, y: x + F.lit(0.6) * y)
+    centers = t.centroids.select("label", F.col("embedding").alias("c"))
+    return t.unit_vectors.join(centers, "label").select("seq", V.l2_normalize(moved).alias("embedding"))
+
+
+@query("photo_search_close", "E1", f"""
+    WITH {_CLOSE}, scored AS (SELECT k.label::BIGINT AS query_id, seq AS id, list_dot_product(c, u) AS score FROM centroids k, drawn),
+    candidates AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank,
+                   max(score) OVER (PARTITION BY query_id) AS best FROM scored)
+    SELECT query_id, id, round(score, 6) + 0.0 AS score, rank FROM candidates
+    WHERE rank <= 25 AND score >= 0.2 AND (score >= greatest(0.2, 0.88 * best) OR rank <= 8)""",
+    "vectors elements centroids")
+def _(t):
+    found = S.photo_search(t.label_queries, _drawn(t), limit=25)
+    return found.select("query_id", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("video_search_close", "E2 D18", f"""
+    WITH {_CLOSE}, s AS (SELECT label::BIGINT AS query_id, seq // 3 AS video_id, list_dot_product(c, u) AS s FROM centroids, drawn),
+    m AS (SELECT *, max(s) OVER (PARTITION BY query_id, video_id) AS m FROM s),
+    scored AS (SELECT query_id, video_id AS id, 0.02 * ln(avg(exp((s - m) / 0.02))) + max(m) AS score
+               FROM m GROUP BY query_id, video_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank,
+               max(score) OVER (PARTITION BY query_id) AS best FROM scored)
+    SELECT query_id, id, round(score, 6) + 0.0 AS score, rank FROM ranked
+    WHERE score >= 0.2 AND (score >= greatest(0.2, 0.88 * best) OR rank <= 8)""",
+    "vectors elements centroids")
+def _(t):
+    frames = _drawn(t).select(F.expr("seq div 3").alias("video_id"), "embedding")
+    found = S.video_search(t.label_queries, frames)
+    return found.select("query_id", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("smooth_max_pooling", "D18 J2", """
     WITH s AS (SELECT label::BIGINT AS query_id, video_id, list_dot_product(c, u) AS s FROM centroids, frames),
     m AS (SELECT *, max(s) OVER (PARTITION BY query_id, video_id) AS m FROM s)
@@ -186,14 +228,17 @@ def _(t):
 
 
 _FEEDBACK = """
-    WITH feedback AS (SELECT e.event_id AS video_id, v.label AS label_ord, v.u FROM events e JOIN vectors v ON v.seq = e.event_id
-                      WHERE e.event_type = 'error'),
+    WITH feedback AS (SELECT v.seq AS video_id, v.label AS label_ord, v.u FROM (
+                      SELECT DISTINCT event_id % 50 AS seq FROM events WHERE event_type = 'error'
+                      UNION ALL SELECT DISTINCT 50 + event_id % 50 FROM events WHERE event_type <> 'error') e JOIN vectors v USING (seq)),
     boosts AS (SELECT v.seq AS item_id, f.label_ord, sum(0.05 * (list_dot_product(v.u, f.u) - 0.3) / 0.7) AS boost
                FROM vectors v, feedback f WHERE list_dot_product(v.u, f.u) > 0.3 GROUP BY v.seq, f.label_ord)"""
 
 
 def _feedback(t):
-    wrong = t.read("events").filter("event_type = 'error'").select(F.col("event_id").alias("seq"))
+    # Every event points at one of a hundred examples.
+    shift = F.when(F.col("event_type") == "error", 0).otherwise(50)
+    wrong = t.read("events").select((F.col("event_id") % 50 + shift).alias("seq")).distinct()
     return t.vectors.join(wrong, "seq").select(
         F.concat(F.lit("label "), F.col("label")).alias("corrected_label"), "embedding"
     )
@@ -224,30 +269,40 @@ def _(t):
     return L.classify(items, t.label_vectors, _feedback(t), boost_floor=0.30)
 
 
-@query("frame_fallback", "A10", """
-    WITH v AS (SELECT video_id, count(*) AS n, bool_or(frame_idx = 13) AS complete FROM frames GROUP BY video_id)
-    SELECT f.video_id, f.frame_idx::BIGINT AS frame_idx, true AS from_frames FROM frames f JOIN v USING (video_id) WHERE complete
-    UNION ALL SELECT video_id, 0, false FROM v WHERE NOT complete""", "vectors frames")
+#: Half precision by hand: ten bits after the leading one, at least 2^-24 apart.
+_HALF = """
+    e AS (SELECT video_id, frame_idx::BIGINT AS frame_idx, unnest(u) AS x, generate_subscripts(u, 1)::BIGINT - 1 AS pos FROM frames),
+    half AS (SELECT video_id, frame_idx, pos, CASE WHEN x = 0 THEN 0.0 ELSE
+             round(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10)) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END AS x FROM e)"""
+
+
+@query("frame_fallback", "A10", f"""
+    WITH {_HALF}, v AS (SELECT video_id, bool_or(frame_idx = 13) AS complete FROM frames GROUP BY video_id),
+    mean AS (SELECT video_id, 0::BIGINT AS frame_idx, pos, avg(x) AS x FROM e GROUP BY video_id, pos),
+    unit AS (SELECT video_id, frame_idx, pos, (x / sqrt(sum(x * x) OVER (PARTITION BY video_id)))::FLOAT::DOUBLE AS x FROM mean),
+    rows AS (SELECT h.* FROM half h JOIN v USING (video_id) WHERE complete
+             UNION ALL SELECT u.* FROM unit u JOIN v USING (video_id) WHERE NOT complete)
+    SELECT video_id, frame_idx, pos, round(x / (sqrt(sum(x * x) OVER (PARTITION BY video_id, frame_idx)) + 1e-9), 5) + 0.0 AS x
+    FROM rows""", "vectors frames")
 def _(t):
     # Videos with all 14 frames store them packed; the others only have their mean vector.
     full = t.frames.groupBy("video_id").agg(F.bool_or(F.col("frame_idx") == 13).alias("complete"))
     packed = FR.pack_video_frames(t.frames).join(full, "video_id")
     means = pool_vectors(t.frames, ["video_id"])
     videos = packed.join(means, "video_id").select(
-        F.col("video_id").alias("id"), F.when(F.col("complete"), F.col("frames")).alias("frames"), "embedding", "complete"
+        F.col("video_id").alias("id"), F.when(F.col("complete"), F.col("frames")).alias("frames"), "embedding"
     )
-    rows = FR.frame_rows(videos, 64).join(full, "video_id")
-    return rows.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.col("complete").alias("from_frames"))
+    rows = FR.frame_rows(videos, 64).select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.posexplode("embedding").alias("p", "x"))
+    return rows.select("video_id", "frame_idx", F.col("p").cast("long").alias("pos"), (F.round(F.col("x").cast("double"), 5) + 0.0).alias("x"))
 
 
-@query("half_precision_frames", "A9", """
-    SELECT video_id, frame_idx::BIGINT AS frame_idx, true AS close FROM frames""", "vectors frames")
+@query("half_precision_frames", "A9", f"""
+    WITH {_HALF} SELECT video_id, frame_idx, pos, x + 0.0 AS x FROM half""", "vectors frames")
 def _(t):
     packed = FR.pack_video_frames(t.frames)
     rows = packed.select("video_id", F.posexplode(FR.unpack_frames("frames", 64)).alias("frame_idx", "v"))
-    both = rows.join(t.frames, ["video_id", "frame_idx"])
-    gap = F.array_max(F.zip_with("v", "embedding", lambda a, b: F.abs(a.cast("double") - b)))
-    return both.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), (gap < 1e-3).alias("close"))
+    cells = rows.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), F.posexplode("v").alias("p", "x"))
+    return cells.select("video_id", "frame_idx", F.col("p").cast("long").alias("pos"), (F.col("x").cast("double") + 0.0).alias("x"))
 
 
 @query("json_vectors", "A8", """
@@ -280,11 +335,11 @@ _HISTS = """
     size AS (SELECT video_id, count(*) AS n FROM hists GROUP BY video_id)"""
 
 
-@query("keyframes", "E13", _HISTS + """,
+@query("keyframes", "E13", _HISTS.replace("FROM frames", "FROM long_frames") + """,
     scan AS (SELECT video_id, 0::BIGINT AS i, 0::BIGINT AS last, true AS keep FROM size
         UNION ALL /* step */
-        SELECT s.video_id, s.i + 1, CASE WHEN c.c < 0.95 THEN s.i + 1 ELSE s.last END, c.c < 0.95
-        FROM scan s JOIN corr c ON c.video_id = s.video_id AND c.i = s.i + 1 AND c.j = s.last),
+        SELECT s.video_id, s.i + 30, CASE WHEN c.c < 0.95 THEN s.i + 30 ELSE s.last END, c.c < 0.95
+        FROM scan s JOIN corr c ON c.video_id = s.video_id AND c.i = s.i + 30 AND c.j = s.last),
     kept AS (SELECT video_id, i FROM scan WHERE keep AND video_id IN (SELECT video_id FROM size WHERE n > 4)
              UNION ALL SELECT video_id, i FROM hists WHERE video_id IN (SELECT video_id FROM size WHERE n <= 4)),
     have AS (SELECT video_id, count(*) AS k FROM kept GROUP BY video_id),
@@ -292,9 +347,9 @@ _HISTS = """
               FROM corr c JOIN kept k ON k.video_id = c.video_id AND k.i = c.j
               WHERE NOT EXISTS (SELECT 1 FROM kept x WHERE x.video_id = c.video_id AND x.i = c.i) GROUP BY c.video_id, c.i)
     SELECT video_id, i AS frame_idx FROM kept
-    UNION ALL SELECT s.video_id, s.i FROM spare s JOIN have h USING (video_id) WHERE r <= 4 - k""", "vectors frames")
+    UNION ALL SELECT s.video_id, s.i FROM spare s JOIN have h USING (video_id) WHERE r <= 4 - k""", "vectors long_frames")
 def _(t):
-    cells = t.frames.select("video_id", "frame_idx", F.posexplode("embedding").alias("pos", "x"))
+    cells = t.long_frames.select("video_id", "frame_idx", F.posexplode("embedding").alias("pos", "x"))
     run = Window.partitionBy("video_id", "pos").orderBy("frame_idx")
     sums = cells.withColumn("x", F.sum("x").over(run))
     hists = sums.groupBy("video_id", "frame_idx").agg(

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgraph.functions.text import expand_queries
 from reelgraph.plans import people
 from reelgraph.plans.catalog import query
-from reelgraph.plans.columns import part_queries
+from reelgraph.plans.columns import _PROMPT_SQL, part_queries
 from reelgraph.plans.libraries import _RATES
 from reelgraph.plans.people import LINK_SQL
-from reelgraph.session import checkpoint_dir
+from reelgraph.plans.tables import scratch
 from reelgraph.sources import encoders as EN
 from reelgraph.sources import vector_table as VT
 from reelgraph.streaming import ingest as N
@@ -30,15 +28,11 @@ def letter_counts():
     return encode
 
 
-def scratch(t) -> str:
-    """A new folder next to the checkpoints, which every executor can reach."""
-    return f"{checkpoint_dir(t.spark)}/stream-{uuid.uuid4()}"
-
-
-def stream(t, name: str) -> DataFrame:
-    """One sample table as a file stream."""
-    reader = t.spark.readStream.schema(t.read(name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(t.sf_dir)
+def stream(t, name: str, batches: int = 3) -> DataFrame:
+    """One sample table as a file stream of several batches: a copy in as many files, one file a batch."""
+    copy = f"{scratch(t)}/{name}"
+    t.read(name).repartition(batches).write.parquet(copy)
+    return t.spark.readStream.schema(t.read(name).schema).option("maxFilesPerTrigger", 1).parquet(copy)
 
 
 def _letters(column: str) -> str:
@@ -46,6 +40,12 @@ def _letters(column: str) -> str:
     return f"[{counts}]::DOUBLE[]"
 
 
+def _elements(vectors: DataFrame, key: str, digits: int) -> DataFrame:
+    """(key, pos, x): a rounded row for each element."""
+    rows = vectors.select(key, F.posexplode("embedding").alias("p", "v"))
+    return rows.select(key, (F.col("p") + 1).cast("long").alias("pos"), (F.round(F.col("v").cast("double"), digits) + 0.0).alias("x"))
+
+
 @query("encoded_texts", "A11 J1", f"""
     WITH v AS (SELECT doc_id, {_letters('text')} AS v FROM documents)
     SELECT doc_id, unnest(list_transform(v, lambda x: round((x / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE, 6))) AS x,
@@ -56,10 +56,16 @@ def _(t):
     return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), F.round(F.col("v").cast("double"), 6).alias("x"))
 
 
-@query("encoded_prompts", "A12 B5 B4", None)
+@query("encoded_prompts", "A12 B5 B4", f"""{_PROMPT_SQL},
+    p AS (SELECT query_id, unnest(l) AS text FROM l),
+    v AS (SELECT query_id, {_letters('text')} AS v FROM p),
+    u AS (SELECT query_id, list_transform(v, lambda x: (x / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE) AS u FROM v),
+    e AS (SELECT query_id, unnest(u) AS x, generate_subscripts(u, 1)::BIGINT AS pos FROM u),
+    m AS (SELECT query_id, pos, avg(x) AS x FROM e GROUP BY query_id, pos)
+    SELECT query_id, pos, round(x / (sqrt(sum(x * x) OVER (PARTITION BY query_id)) + 1e-6), 5) + 0.0 AS x FROM m""")
 def _(t):
     encoded = EN.embed_prompts(expand_queries(part_queries(t)), letter_counts)
-    return EN.query_vectors(encoded).select("query_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
+    return _elements(EN.query_vectors(encoded), "query_id", 5)
 
 
 @query("caption_queries", "B6 A12", f"""
@@ -67,50 +73,62 @@ def _(t):
     v AS (SELECT query_id, {_letters('text')} AS v FROM q UNION ALL
           SELECT query_id, {_letters("('a photo of ' || text)")} FROM q),
     u AS (SELECT query_id, list_transform(v, lambda x: (x / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE) AS u FROM v),
-    s AS (SELECT query_id, [sum(u[1]), sum(u[2]), sum(u[3]), sum(u[4]), sum(u[5]), sum(u[6]), sum(u[7])] AS s FROM u GROUP BY query_id)
-    SELECT query_id, round(s[1] / (sqrt(list_dot_product(s, s)) + 1e-9), 6) AS first FROM s""")
+    e AS (SELECT query_id, unnest(u) AS x, generate_subscripts(u, 1)::BIGINT AS pos FROM u),
+    m AS (SELECT query_id, pos, sum(x) AS x FROM e GROUP BY query_id, pos)
+    SELECT query_id, pos, round(x / (sqrt(sum(x * x) OVER (PARTITION BY query_id)) + 1e-9), 5) + 0.0 AS x FROM m""")
 def _(t):
     queries = t.read("part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
-    vectors = EN.caption_query_vectors(queries, letter_counts)
-    return vectors.select("query_id", F.round(F.element_at("embedding", 1), 6).alias("first"))
+    return _elements(EN.caption_query_vectors(queries, letter_counts), "query_id", 5)
 
 
-@query("streamed_throughput", "I4 E12", _RATES + " SELECT job, round(rate, 6) AS rate, n FROM a")
-def _(t):
-    rows = stream(t, "events").select(
+def in_order(t, name: str, key: str, batches: int = 3) -> DataFrame:
+    """A sample table as a file stream whose batches follow each other in the order of ``key``."""
+    copy = f"{scratch(t)}/{name}"
+    rows = t.read(name)
+    edges = rows.approxQuantile(key, [(k + 1) / batches for k in range(batches - 1)], 0.0)
+    for k in range(batches):
+        low, high = ([None, *edges][k], [*edges, None][k])
+        part = rows if low is None else rows.filter(F.col(key) > low)
+        (part if high is None else part.filter(F.col(key) <= high)).coalesce(1).write.parquet(f"{copy}/{k}")
+    source = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
+    return source.parquet(copy)
+
+
+def _throughput(t) -> DataFrame:
+    rows = in_order(t, "events", "event_id").select(
         F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("items"), F.col("value").alias("seconds")
     )
     out = scratch(t)
+    state = N.folded_average(rows, f"{out}/rates", f"{out}/state")
+    return state.select("job", F.round("rate", 6).alias("rate"), "n")
 
-    def keep(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rates/batch={batch_id}")
 
-    N.drain_query(N.moving_average(rows), keep, f"{out}/state", "update")
-    updates = t.spark.read.parquet(f"{out}/rates")
-    latest = updates.groupBy("job").agg(F.max_by(F.struct("rate", "n"), "batch").alias("s"))
-    return latest.select("job", F.round("s.rate", 6).alias("rate"), "s.n")
+@query("streamed_throughput", "I4 E12", _RATES + " SELECT job, round(rate, 6) AS rate, n FROM a")
+def _(t):
+    return _throughput(t)
 
 
 @query("folded_throughput", "I4 E12", _RATES + " SELECT job, round(rate, 6) AS rate, n FROM a")
 def _(t):
-    rows = stream(t, "events").select(
-        F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("items"), F.col("value").alias("seconds")
-    )
-    out = scratch(t)
-    state = N.folded_average(rows, f"{out}/rates", f"{out}/state")
-    return state.select("job", F.round("rate", 6).alias("rate"), "n")
+    return _throughput(t)
 
 
 @query("drained_queue", "I3", """
-    SELECT doc_id, lang FROM documents""")
+    SELECT doc_id, lang, (SELECT count(*) FROM documents) AS handled, (SELECT count(DISTINCT lang) FROM documents) AS langs FROM documents""")
 def _(t):
     out = scratch(t)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, batch_id: int) -> int:
         batch.select("doc_id", "lang").write.mode("overwrite").parquet(f"{out}/rows/batch={batch_id}")
+        return t.spark.read.parquet(f"{out}/rows/batch={batch_id}").count()
+
+    def finish() -> None:  # once, over all that was handled
+        rows = t.spark.read.parquet(f"{out}/rows")
+        rows.agg(F.countDistinct("lang").alias("langs")).write.parquet(f"{out}/summary")
 
-    N.drain(stream(t, "documents"), each, lambda: None, f"{out}/state")
-    return t.spark.read.parquet(f"{out}/rows").select("doc_id", "lang")
+    handled = N.drain(stream(t, "documents"), each, finish, f"{out}/state")
+    rows, summary = t.spark.read.parquet(f"{out}/rows"), t.spark.read.parquet(f"{out}/summary")
+    return rows.select("doc_id", "lang", F.lit(handled).cast("long").alias("handled"), summary.scalar().alias("langs"))
 
 
 @query("streamed_links", "I5 F8", f"WITH {LINK_SQL} SELECT id, video_id, person_id FROM once WHERE r = 1", "vectors")
@@ -124,20 +142,26 @@ def _(t):
         )
 
     live = type(t)(t.spark, t.sf_dir)
-    live.vectors = stream(t, "embeddings").select(F.col("vec_id").alias("seq"), "embedding", "label")
-    N.drain(people.detections(live), N.link_batch(lambda: known, write, lambda: 100), lambda: None, f"{out}/state")
+    live.vectors = stream(t, "embeddings", 1).select(F.col("vec_id").alias("seq"), "embedding", "label")
+
+    def each(batch: DataFrame, batch_id: int) -> int:
+        N.link_batch(lambda: known, write, lambda: 100)(batch, batch_id)
+        return batch.count()
+
+    N.drain(people.detections(live), each, lambda: None, f"{out}/state")
     return t.spark.read.parquet(f"{out}/links").select("id", "video_id", "person_id")
 
 
 @query("streamed_vectors", "I1 I2 A11", f"""
-    WITH v AS (SELECT page_id, {_letters('html')} AS v FROM pages)
-    SELECT page_id, round((v[1] / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE, 6) AS first FROM v""")
+    WITH v AS (SELECT page_id, {_letters('html')} AS v FROM pages),
+    u AS (SELECT page_id, list_transform(v, lambda x: (x / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE) AS u FROM v)
+    SELECT page_id, generate_subscripts(u, 1)::BIGINT AS pos, round(unnest(u), 6) + 0.0 AS x FROM u""")
 def _(t):
     out = scratch(t)
     vectors = EN.valid_vectors(EN.embed(stream(t, "pages"), "page_id", "html", letter_counts))
-    N.index_until_quiet(lambda: N.append_vectors(vectors, f"{out}/vectors", f"{out}/state"))
-    stored = t.spark.read.parquet(f"{out}/vectors")
-    return stored.select("page_id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+    stored = N.stored_rows(t.spark, f"{out}/vectors", vectors.schema)
+    N.index_until_quiet(lambda: N.append_vectors(vectors, f"{out}/vectors", f"{out}/state"), stored)
+    return _elements(t.spark.read.schema(vectors.schema).parquet(f"{out}/vectors"), "page_id", 6)
 
 
 @query("remembered_empty", "I6", """
@@ -183,7 +207,9 @@ def readable_letter_counts():
 
 @query("rebuilt_semantic_index", "H17 A5 A6 A11", f"""
     WITH v AS (SELECT doc_id, {_letters('text')} AS v FROM documents WHERE NOT regexp_matches(text, '[0-9]'))
-    SELECT 'doc_' || doc_id AS path, doc_id AS seq, 'letters-1' AS model_id, v[1] > 0 AS has_first FROM v WHERE list_sum(v) > 0""")
+    SELECT 'doc_' || doc_id AS path, doc_id AS seq, 'letters-1' AS model_id, generate_subscripts(v, 1)::BIGINT AS pos,
+        round(unnest(list_transform(v, lambda x: (x / (sqrt(list_dot_product(v, v)) + 1e-6))::FLOAT::DOUBLE)), 5) + 0.0 AS x
+    FROM v WHERE list_sum(v) > 0""")
 def _(t):
     out = scratch(t)
     manifest = t.read("documents").select(F.concat(F.lit("doc_"), F.col("doc_id")).alias("path"), F.col("doc_id").alias("seq"), "text")
@@ -191,4 +217,7 @@ def _(t):
     nonzero = found.filter(F.exists("embedding", lambda x: x > 0)).join(manifest.select("path", "seq"), "path")
     VT.write_vectors(nonzero, f"{out}/vectors", "semantic", "letters-1", mode="overwrite")
     stored = VT.read_vectors(t.spark, f"{out}/vectors", "semantic", "letters-1")
-    return stored.select("path", "seq", "model_id", (F.element_at("embedding", 1) > 0).alias("has_first"))
+    cells = stored.select("path", "seq", "model_id", F.posexplode("embedding").alias("p", "v"))
+    return cells.select(
+        "path", "seq", "model_id", (F.col("p") + 1).cast("long").alias("pos"), (F.round(F.col("v").cast("double"), 5) + 0.0).alias("x")
+    )

@@ -6,6 +6,7 @@ photos of people. Embeddings are the vectors, in order of their id; 14 in a row
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.functions.vectors import l2_normalize
 from reelgraph.operators.pooling import pool_vectors
+from reelgraph.session import checkpoint_dir
 
 SQL = {
     # vectors with unit length, and the ten label centroids that serve as text queries
@@ -26,6 +28,8 @@ SQL = {
             SELECT label, list(x ORDER BY pos) AS m FROM (
                 SELECT label, pos, avg(x) AS x FROM elements GROUP BY label, pos) GROUP BY label)""",
     "frames": "SELECT seq // 14 AS video_id, seq % 14 AS frame_idx, u FROM vectors",
+    # longer videos of 40 frames, one in thirty of what was filmed
+    "long_frames": "SELECT seq // 40 AS video_id, seq % 40 * 30 AS frame_idx, u FROM vectors",
     # registry of videos, faces and persons
     "videos": """
         SELECT o_orderkey AS id, 'uploaded_videos/clip_' || o_custkey || '.mp4' AS path,
@@ -61,6 +65,11 @@ SQL = {
 }
 
 
+def scratch(t: Tables) -> str:
+    """A new folder next to the checkpoints, which every executor can reach."""
+    return f"{checkpoint_dir(t.spark)}/plan-{uuid.uuid4()}"
+
+
 class Tables:
     """Lazy DataFrames over one data folder."""
 
@@ -101,6 +110,12 @@ class Tables:
             F.expr("seq div 14").alias("video_id"), (F.col("seq") % 14).cast("int").alias("frame_idx"), "embedding"
         )
 
+    @cached_property
+    def long_frames(self) -> DataFrame:
+        return self.unit_vectors.select(
+            F.expr("seq div 40").alias("video_id"), (F.col("seq") % 40 * 30).cast("int").alias("frame_idx"), "embedding"
+        )
+
     @cached_property
     def videos(self) -> DataFrame:
         label = (

@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
 from reelgraph.functions.media import WATCHED_IMAGE_EXTENSIONS, has_extension
 from reelgraph.operators.identity import link_faces
 from reelgraph.operators.library import cached_live_unindexed
-from reelgraph.operators.progress import average_step, fold_averages
+from reelgraph.operators.progress import fold_averages
 from reelgraph.schemas import FILES
 from reelgraph.sources.encoders import Encoder, embed_photos, valid_vectors
 
-MAX_PASSES = 20
-
 
 def watch_images(spark: SparkSession, folder: str, *, max_files: int | None = None) -> DataFrame:
     """Stream of new image files below ``folder``."""
@@ -45,18 +41,32 @@ def index_new_images(images: DataFrame, factory: Callable[[], Encoder], table: s
     return append_vectors(valid_vectors(embed_photos(images, factory)), table, checkpoint)
 
 
-def rows_read(query: StreamingQuery) -> int:
-    return sum(p["numInputRows"] for p in query.recentProgress)
+def index_until_quiet(start: Callable[[], StreamingQuery], rows: Callable[[], int]) -> int:
+    """Repeat passes until one adds nothing; ``rows`` counts what is stored. Returns how many passes added something."""
+    passes, stored = 0, rows()
+    while True:
+        start().awaitTermination()
+        before, stored = stored, rows()
+        if stored == before:
+            return passes
+        passes += 1
+
+
+def stored_rows(spark: SparkSession, table: str, schema) -> Callable[[], int]:
+    """A counter of the rows in a parquet table that may not be there yet."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(table)
+    return lambda: spark.read.schema(schema).parquet(table).count()
 
 
-def index_until_quiet(start: Callable[[], StreamingQuery], max_passes: int = MAX_PASSES) -> int:
-    """Repeat passes until one finds nothing new. Returns how many passes found something."""
-    for done in range(max_passes):
-        query = start()
-        query.awaitTermination()
-        if rows_read(query) == 0:
-            return done
-    return max_passes
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library wrote, in whatever file system it is."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def drain_query(
@@ -78,46 +88,35 @@ def drain_query(
 
 
 def drain(
-    source: DataFrame, each: Callable[[DataFrame, int], None], finish: Callable[[], None], checkpoint: str
+    source: DataFrame, each: Callable[[DataFrame, int], int], finish: Callable[[], None], checkpoint: str
 ) -> int:
-    """Handle all waiting batches, then call ``finish`` once. Returns the number of rows handled."""
-    rows = rows_read(drain_query(source, each, checkpoint))
-    finish()
-    return rows
+    """Handle all waiting batches, then call ``finish`` once. Returns the number of rows handled.
 
+    ``each`` returns how many rows it handled; a batch that is repeated counts once.
+    """
+    handled: dict[int, int] = {}
 
-# ---------------------------------------------------------------- keyed state
+    def count(batch: DataFrame, batch_id: int) -> None:
+        handled[batch_id] = each(batch, batch_id) or 0
 
+    drain_query(source, count, checkpoint)
+    finish()
+    return sum(handled.values())
 
-def moving_average(stream: DataFrame, key: str = "job") -> DataFrame:
-    """(key, rate, n) after each batch: state is the average and the number of observations.
 
-    ``stream`` is (key, seq, items, seconds). Observations of one batch are folded in ``seq`` order; those of one key
-    must fit a task. ``folded_average`` has no such bound.
-    """
-    valid = stream.filter((F.col("items") > 0) & (F.col("seconds") > 0))
-    key_type = stream.schema[key].dataType.simpleString()
-
-    def update(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, n = state.get if state.exists else (None, 0)
-        rows = pd.concat([f[["seq", "items", "seconds"]] for f in frames]).sort_values("seq")
-        mean, n = average_step(mean, n, rows["items"] / rows["seconds"])
-        state.update((mean, n))
-        yield pd.DataFrame({key: [keys[0]], "rate": [mean], "n": [n]})
-
-    return valid.groupBy(key).applyInPandasWithState(
-        update, f"{key} {key_type}, rate double, n long", "mean double, n long", "update", GroupStateTimeout.NoTimeout
-    )
+# ---------------------------------------------------------------- keyed state
 
 
 def folded_average(stream: DataFrame, table: str, checkpoint: str, key: str = "job") -> DataFrame:
     """Run the waiting batches of ``stream`` into a state table with one partition per batch; returns the last state.
 
     A batch reads the state of the batch before it and overwrites its own, so a repeated batch gives the same state.
+    States older than the one before are removed.
     """
     spark = stream.sparkSession
     schema = f"{key} {stream.schema[key].dataType.simpleString()}, rate double, n long"
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{table}/batch=-1")
+    if not folder_exists(spark, table):
+        spark.createDataFrame([], schema).write.parquet(f"{table}/batch=-1")
 
     def states() -> DataFrame:
         return spark.read.schema(schema + ", batch long").parquet(table)
@@ -125,6 +124,7 @@ def folded_average(stream: DataFrame, table: str, checkpoint: str, key: str = "j
     def each(batch: DataFrame, batch_id: int) -> None:
         before = states().filter(F.col("batch") == batch_id - 1).drop("batch")
         fold_averages(before, batch, key).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        remove_folder(spark, f"{table}/batch={batch_id - 2}")
 
     drain_query(stream, each, checkpoint)
     last = states().agg(F.max("batch")).scalar()

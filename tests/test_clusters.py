@@ -24,8 +24,6 @@ def test_split_leaders_are_rejoined(spark):
     together = C.two_stage_clusters(rows, min_cluster_size=1)
     assert len(set(labels(apart, "label"))) == 2
     assert len(set(labels(together, "label"))) == 1
-    capped = C.two_stage_clusters(rows, min_cluster_size=1, max_clusters=1)
-    assert len(set(labels(capped, "label"))) == 2
 
 
 def test_small_clusters_are_noise_and_empty_stays_empty(spark):

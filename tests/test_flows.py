@@ -68,3 +68,46 @@ def test_video_analysis_then_search(spark):
     queries = spark.createDataFrame([(1, " Cat "), (2, "")], "query_id long, text string")
     hits = W.search_videos(queries, stored, words).orderBy("rank").collect()
     assert hits[0].id == 1 and {h.query_id for h in hits} == {1}
+
+
+def test_changed_model_leaves_one_model(spark):
+    files = photos(spark, [("a.jpg", "cat"), ("b.jpg", "dog dog"), ("a_1700000000000.jpg", "cat")])
+    one = W.index_photos(empty(spark), files, detect, words, "m1")
+    assert sorted(r.path for r in one.semantic_vectors.collect()) == ["a.jpg", "b.jpg"]
+    two = W.index_photos(one, files, detect, words, "m2")
+    assert {(r.path, r.model_id) for r in two.semantic_vectors.collect()} == {("a.jpg", "m2"), ("b.jpg", "m2")}
+
+
+def test_video_pass(spark, tmp_path):
+    from reelgraph import schemas as T
+    from reelgraph.sources.table_store import TableStore
+
+    store = TableStore(spark, f"file://{tmp_path}/registry")
+    assert store.version() is None
+    names = {"videos": T.VIDEOS, "faces": T.FACES, "persons": T.PERSONS, "meta": T.META}
+    store.write({n: spark.createDataFrame([], s) for n, s in names.items()})
+    labels = spark.createDataFrame([(w, i, [float(i == j) for j in range(3)]) for i, w in enumerate(WORDS)], "label string, label_ord int, embedding array<float>")
+    texts = {"a.mp4": "cat", "b.mp4": "dog sky"}
+    rows = [(n, 30 * i, [float((i * 7 + j) % 5) for j in range(8)], t.encode()) for n, t in texts.items() for i in range(20)]
+    frames = spark.createDataFrame(rows, "file_name string, frame_idx int, hist array<double>, content binary")
+    found = [(1, "a.mp4", [1.0, 0.0]), (2, "b.mp4", [1.0, 0.01]), (3, "b.mp4", [0.0, 1.0])]
+    detections = spark.createDataFrame(
+        [(i, n, 0, 0, 0, 200, 200, 0.99, 0.0, 500.0, v) for i, n, v in found],
+        "det_id long, file_name string, frame_idx int, x1 int, y1 int, x2 int, y2 int, det_score double, yaw double, blur_var double, embedding array<float>",
+    )
+    thumbs = spark.createDataFrame([("t/a.jpg",), ("t/b.jpg",)], "path string")
+
+    def run(paths):
+        files = spark.createDataFrame([(p,) for p in paths], "path string")
+        out = W.index_videos(W.VideoTables(*(store.read(n) for n in names)), files, thumbs, frames, detections, words, labels)
+        store.write({"videos": out.videos, "faces": out.faces, "persons": out.persons, "meta": out.meta})
+
+    run(["up/a.mp4", "up/b.mp4"])
+    videos = {r.path: r for r in store.read("videos").collect()}
+    assert videos["up/a.mp4"].label == "cat" and {v.id for v in videos.values()} == {1, 2}
+    assert store.read("faces").count() == 3 and store.read("persons").count() == 2
+    run(["up/a.mp4"])  # b is gone, with its faces and the person that only it showed
+    assert [r.id for r in store.read("videos").collect()] == [1] and store.read("persons").count() == 1
+    run(["up/a.mp4", "up/b.mp4"])  # back again under a new id
+    assert sorted(r.id for r in store.read("videos").collect()) == [1, 3]
+    assert store.version() == 3

@@ -157,8 +157,13 @@ def test_classify_equals_sequential_rule(spark):
     assert {r.item_id: r.label for r in got.collect()} == {i: classify_one(v, protos, examples) for i, v in enumerate(items)}
 
 
-def test_large_vocabulary_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(L, "MAX_LABEL_BYTES", 10)
-    labels = spark.createDataFrame([("a", 0, [1.0, 0.0])], "label string, label_ord int, embedding array<float>")
-    with pytest.raises(ValueError):
-        L.classify(D.frame(spark, np.eye(2)).withColumnRenamed("seq", "id"), labels)
+def test_large_vocabulary_gives_the_same_labels(spark):
+    rng = np.random.default_rng(4)
+    items, protos = rng.normal(size=(40, 6)), rng.normal(size=(9, 6))
+    labels = spark.createDataFrame(
+        [(f"L{i}", i, [float(x) for x in v]) for i, v in enumerate(protos)], "label string, label_ord int, embedding array<float>"
+    )
+    feedback = spark.createDataFrame([("L3", [float(x) for x in items[0]])], "corrected_label string, embedding array<float>")
+    df = D.frame(spark, items).withColumnRenamed("seq", "id")
+    sent = {r.item_id: r.label for r in L.classify(df, labels, feedback).collect()}
+    assert {r.item_id: r.label for r in L.classify(df, labels, feedback, vocabulary_bytes=10).collect()} == sent

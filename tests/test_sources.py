@@ -76,35 +76,33 @@ def test_encoder_keeps_keys_and_marks_unreadable(spark):
 def test_watch_index_until_quiet(spark, tmp_path):
     library, table, state = (str(tmp_path / x) for x in ("in", "out", "state"))
     touch(library, "a.jpg", "sub/b.png", "notes.txt")
+    stored = N.stored_rows(spark, table, "path string, embedding array<float>")
 
     def start():
         return N.index_new_images(N.watch_images(spark, library), two_bytes, table, state)
 
-    assert N.index_until_quiet(start) == 1
-    assert spark.read.parquet(table).count() == 2
+    assert N.index_until_quiet(start, stored) == 1
+    assert stored() == 2
     touch(library, "c.JPEG")
-    assert N.index_until_quiet(start) == 1
-    assert spark.read.parquet(table).count() == 3
-    assert N.index_until_quiet(start) == 0
+    assert N.index_until_quiet(start, stored) == 1
+    assert stored() == 3
+    assert N.index_until_quiet(start, stored) == 0
 
 
-def test_moving_average_stream_keeps_state(spark, tmp_path):
-    src, out = str(tmp_path / "src"), str(tmp_path / "out")
-    schema = "job string, seq long, items long, seconds double"
+class Quick:
+    def awaitTermination(self):
+        pass
+
 
-    def feed(name, rows):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{name}")
+def test_passes_go_on_until_quiet():
+    left, done = [1] * 37, []
 
-    def run(tag):
-        rates = N.moving_average(spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(src))
-        N.drain_query(rates, lambda b, i: b.write.mode("overwrite").parquet(f"{out}/{tag}-{i}"), str(tmp_path / "ck"), "update")
-        return {r.job: (r.rate, r.n) for r in spark.read.option("recursiveFileLookup", "true").parquet(out).orderBy("n").collect()}
+    def start():
+        if left:
+            done.append(left.pop())
+        return Quick()
 
-    feed("one", [("a", 0, 27, 10.0), ("a", 1, 0, 1.0)])
-    assert run("x")["a"] == (pytest.approx(2.7), 1)
-    feed("two", [("a", 3, 45, 10.0), ("a", 2, 45, 10.0), ("b", 1, 1, 1.0)])
-    got = run("y")
-    assert got["a"] == (pytest.approx(0.7 * (0.7 * 2.7 + 0.3 * 4.5) + 0.3 * 4.5), 3) and got["b"][1] == 1
+    assert N.index_until_quiet(start, lambda: len(done)) == 37
 
 
 def test_folded_average_keeps_state_between_runs(spark, tmp_path):
@@ -121,16 +119,25 @@ def test_folded_average_keeps_state_between_runs(spark, tmp_path):
     assert run() == {"a": (pytest.approx(2.7), 1)}
     spark.createDataFrame([("a", 1, 45, 10.0), ("b", 2, 1, 1.0)], schema).write.parquet(f"{src}/two")
     assert run() == {"a": (pytest.approx(0.7 * 2.7 + 0.3 * 4.5), 2), "b": (1.0, 1)}
+    spark.createDataFrame([("b", 3, 1, 1.0)], schema).write.parquet(f"{src}/three")
+    assert run()["b"] == (pytest.approx(1.0), 2)
+    assert sorted(p.name for p in (tmp_path / "state").glob("batch=*")) == ["batch=1", "batch=2"]
 
 
 def test_drain_finishes_once(spark, tmp_path):
     touch(tmp_path / "in", "a.jpg", "b.jpg", "c.jpg")
     seen, done = [], []
     stream = N.watch_images(spark, str(tmp_path / "in"), max_files=1).select("path")
-    n = N.drain(stream, lambda b, i: seen.append(b.count()), lambda: done.append(1), str(tmp_path / "ck"))
+    n = N.drain(stream, lambda b, i: seen.append(b.count()) or seen[-1], lambda: done.append(1), str(tmp_path / "ck"))
     assert n == 3 and seen == [1, 1, 1] and done == [1]
 
 
+def test_drain_counts_all_of_many_batches(spark, tmp_path):
+    touch(tmp_path / "in", *(f"{k}.jpg" for k in range(110)))
+    stream = N.watch_images(spark, str(tmp_path / "in"), max_files=1).select("path")
+    assert N.drain(stream, lambda b, i: 1, lambda: None, str(tmp_path / "ck")) == 110
+
+
 @pytest.mark.parametrize(
     ("rate", "seconds", "frames"), [(4, 10, 5), (4, 600, 8), (4, 1, 4), (200, 10, 5), (200, 600, 14), (200, None, 14)]
 )
