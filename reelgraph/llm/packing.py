@@ -13,12 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgraph.llm.common import saved
+from reelgraph.llm.common import arrow_batches, saved, slices
 
 SEQUENCE = 2048
 END = 1
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-CHUNK_BYTES = 1 << 23  # ids of one document are cut in a task, pieces leave it in batches of about this size
+ROWS, TEXT_BYTES = 1000, 2 << 20  # what a task tokenizes at once
+CHUNK_BYTES = 1 << 21  # ids of one document are cut in a task, pieces leave it in batches of about this size
 
 PIECES = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -49,7 +50,7 @@ def tokenized(docs: DataFrame, ranks_path: str, end: int = END) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, part, total = _encoding(ranks_path), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, "text", TEXT_BYTES):
             ids, before, counts = [], [], []
             for text in batch.column("text").to_pylist():
                 x = encoding.encode(text or "", allowed_special="all")
@@ -69,7 +70,7 @@ def tokenized(docs: DataFrame, ranks_path: str, end: int = END) -> DataFrame:
 
 def _cut(length: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "ids", CHUNK_BYTES):
             rows, held = [], 0
             for doc_id, at, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "at", "ids")), strict=True):
                 n, start = len(ids) // 4, 0
@@ -107,7 +108,8 @@ def pack(
     gives no piece. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = saved(tokenized(docs, ranks_path or vocabulary()), "tokens", compression="zstd")
+    with arrow_batches(docs.sparkSession, ROWS):
+        ids = saved(tokenized(docs, ranks_path or vocabulary()), "tokens", compression="zstd")
     # One row a partition of the first pass: small by construction, whatever the documents.
     totals = ids.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
