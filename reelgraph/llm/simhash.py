@@ -12,14 +12,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgraph.llm.common import Unions, arrow_batches, saved
+from reelgraph.llm.common import Unions, arrow_batches, saved, slices
 from reelgraph.operators.clustering import connected_components
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 BLOCK = 16384  # fingerprints in a block at most; two blocks meet in a row
+SPREAD = 8  # tasks that the block pairs of a cell are dealt over
 FAN = 8  # children of an index node
+ROWS, TEXT_BYTES = 1000, 2 << 20  # documents that a task fingerprints at once
 TILE = 1 << 16  # node pairs compared at once
 
 
@@ -50,7 +52,7 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of ``docs`` (doc_id, text); fp is the fingerprint's 64 bits as a long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "text", TEXT_BYTES):
             values = np.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.record_batch([batch.column("doc_id"), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
@@ -221,11 +223,16 @@ def links(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         b = saved(blocks(codes, bits), "simhash-blocks")
         mask = F.explode(F.array(*[F.lit(m).cast("long") for m in near]))
         sent = b.select("*", mask.alias("turn")).withColumn("to", F.col("cell").bitwiseXOR(F.col("turn"))).filter("to >= cell")
-        x, y = sent.alias("x"), b.alias("y")
+        # Work is in the pairs and not in their bytes: a cell's are dealt over SPREAD tasks, whose number stays as it is.
+        share = F.pmod(F.xxhash64("block"), F.lit(SPREAD))
+        tasks = SPREAD << min(bits, 12)
+        x = sent.withColumn("share", share).repartition(tasks, "to", "share").alias("x")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")))
+        y = b.withColumn("share", each).repartition(tasks, "cell", "share").alias("y")
         differ = F.bit_count(
             F.col("x.bits").bitwiseXOR(F.col("y.bits")).bitwiseAND(F.col("x.mask")).bitwiseAND(F.col("y.mask"))
         )
-        pairs = x.join(y, F.col("x.to") == F.col("y.cell")).filter(
+        pairs = x.join(y, (F.col("x.to") == F.col("y.cell")) & (F.col("x.share") == F.col("y.share"))).filter(
             ((F.col("x.cell") < F.col("y.cell")) | (F.col("x.block") <= F.col("y.block"))) & (differ <= distance)
         )
         same = (F.col("x.cell") == F.col("y.cell")) & (F.col("x.block") == F.col("y.block"))
@@ -243,7 +250,8 @@ def near_duplicates(
     one. Repeated rows are returned each. An empty table gives an empty result. Other columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    coded = saved(fingerprints(docs, words), "fingerprints")
+    with arrow_batches(docs.sparkSession, ROWS):
+        coded = saved(fingerprints(docs, words), "fingerprints")
     heads = saved(coded.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
     edges = links(heads.select("fp"), distance)
     nodes = edges.select(F.col("src").alias("fp")).union(edges.select(F.col("dst").alias("fp"))).distinct()
