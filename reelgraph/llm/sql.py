@@ -54,4 +54,19 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-SQL = {"op4_warc": OP4, "op10_rules": OP10}
+
+OP6 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+    WHERE label IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+p AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT p.b, r.root FROM reach r JOIN p ON p.a = r.id),
+least AS (SELECT id, min(root) AS component_id FROM reach GROUP BY id),
+met AS (SELECT a AS id, count(*) AS n FROM p GROUP BY a)
+SELECT l.id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, l.id = component_id AS kept
+FROM least l LEFT JOIN met ON met.id = l.id
+"""
+
+SQL = {"op4_warc": OP4, "op6_embedding_dedup": OP6, "op10_rules": OP10}
