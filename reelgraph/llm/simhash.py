@@ -22,7 +22,7 @@ BLOCK = 16384  # fingerprints in a block at most; two blocks meet in a row
 SPREAD = 8  # tasks that the block pairs of a cell are dealt over
 FAN = 8  # children of an index node
 ROWS, TEXT_BYTES = 1000, 2 << 20  # documents that a task fingerprints at once
-TILE = 1 << 16  # node pairs compared at once
+TILE = 1 << 12  # node pairs compared at once; each may bring FAN * FAN pairs of children
 
 
 # ---------------------------------------------------------------- fingerprints
