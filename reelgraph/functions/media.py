@@ -86,12 +86,16 @@ def face_gate(
     )
 
 
+#: The reasons as they are shown.
+LOW_CONFIDENCE, SIDE_VIEW, NO_FILE = "low confidence", "extreme side-view angle", "file missing on disk"
+
+
 def cleanup_reason(confidence: Column, yaw: Column, file_present: Column) -> Column:
     """Why a stored face should go, or null: low confidence, then extreme yaw, then a missing thumbnail."""
     return (
-        F.when(confidence < MIN_FACE_SCORE, F.lit("low confidence"))
-        .when(F.abs(yaw) > CLEANUP_MAX_YAW, F.lit("extreme side-view angle"))
-        .when(~F.coalesce(file_present, F.lit(False)), F.lit("file missing on disk"))
+        F.when(confidence < MIN_FACE_SCORE, F.lit(LOW_CONFIDENCE))
+        .when(F.abs(yaw) > CLEANUP_MAX_YAW, F.lit(SIDE_VIEW))
+        .when(~F.coalesce(file_present, F.lit(False)), F.lit(NO_FILE))
     )
 
 

@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 PLACEHOLDER_LABEL = "Processing AI tags..."
 RECENT = "Recent"
 WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The phrasings of a query, each with or without an article, and how a caption begins.
+PHOTO_OF = "a photo of "
+ONE_WORD = [
+    (PHOTO_OF, True), ("a photograph of ", True), ("a picture of ", True), ("a close-up photo of ", True),
+    ("a photo of the ", False), (PHOTO_OF, False),
+]
+SEVERAL_WORDS = [(PHOTO_OF, False), ("a photograph of ", False), ("a picture showing ", False), ("an image of ", False)]
+CAPTION = r"^a (photo|picture) of"
 
 
 def strip(text: Column) -> Column:
@@ -42,25 +50,19 @@ def prompt_templates(query: Column) -> Column:
     q = strip(query)
     a_q = F.concat(article(q), F.lit(" "), q)
 
-    def after(prefix: str, text: Column) -> Column:
-        return F.concat(F.lit(prefix), text)
+    def phrasings(kinds: list[tuple[str, bool]]) -> Column:
+        return F.array(q, *(F.concat(F.lit(words), a_q if with_article else q) for words, with_article in kinds))
 
-    single = F.array(
-        q, after("a photo of ", a_q), after("a photograph of ", a_q), after("a picture of ", a_q),
-        after("a close-up photo of ", a_q), after("a photo of the ", q), after("a photo of ", q),
-    )
-    several = F.array(
-        q, after("a photo of ", q), after("a photograph of ", q), after("a picture showing ", q), after("an image of ", q)
-    )
+    single, several = phrasings(ONE_WORD), phrasings(SEVERAL_WORDS)
     initial = F.substring(q, 1, 1)
     capital = (F.upper(initial) == initial) & (F.lower(initial) != initial)
-    phrased = F.lower(q).rlike(r"^a (photo|picture) of")
+    phrased = F.lower(q).rlike(CAPTION)
     return (
         F.when(q == "", F.array().cast("array<string>"))
         .when(phrased, F.array(q))
         .when(~q.rlike(r"\s"), single)
         .when(capital, several)
-        .otherwise(F.concat(several, F.array(after("a photo of ", a_q))))
+        .otherwise(F.concat(several, F.array(F.concat(F.lit(PHOTO_OF), a_q))))
     )
 
 

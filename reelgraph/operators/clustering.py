@@ -123,44 +123,89 @@ def _uncovered(rows: np.ndarray, leaders: np.ndarray, threshold: float, strict:
 
 def greedy_leaders(
     df: DataFrame, threshold: float, *, id_col: str = "seq", vec: str = "embedding", strict: bool = False,
-    chunk_rows: int = 512, max_chunk_rows: int = 8192,
+    chunk_rows: int = 512, task_rows: int = 8192, max_chunk_rows: int = 1 << 20, broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Ids that a first-leader pass in id order would open a cluster for.
 
     An id is a leader unless an earlier leader reaches the threshold. Each round settles the next ``chunk_rows``
-    open ids in order, a bounded head that grows up to ``max_chunk_rows``, then removes every later id that one of
-    the new leaders covers. The leaders of a round fit a broadcast by construction, so the open rows are filtered
-    where they are, without a shuffle. The arithmetic is rows x leaders, as in the sequential pass, and dense
+    open ids in order, a head that doubles up to ``max_chunk_rows``, then removes every later id that one of the new
+    leaders covers, where the rows are and without a shuffle. A head of up to ``task_rows`` is walked in one task, a
+    larger one is settled by all tasks. The arithmetic is rows x leaders, as in the sequential pass, and dense
     regions vanish as soon as their first leader is known.
     """
     pending = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
     found: list[DataFrame] = []
     chunk = chunk_rows
     while True:  # each round settles the rows of its head
-        head = pending.orderBy("_id").limit(chunk)
-        settled = cut(
-            head.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(
+        last = pending.select("_id").orderBy("_id").offset(chunk - 1).limit(1).first()
+        head = pending if last is None else pending.filter(F.col("_id") <= last[0])
+        if chunk <= task_rows:
+            settled = head.withColumn("_g", F.lit(0)).groupBy("_g").applyInArrow(
                 _resolve_head(threshold, strict, []), "_id long, _v array<double>, _leader boolean"
             )
-        )
-        size, last = settled.agg(F.count(F.lit(1)), F.max("_id")).first()
-        leaders = settled.filter("_leader").select("_id", "_v")
+            leaders = cut(settled.filter("_leader").select("_id", "_v"))
+        else:
+            leaders = _settle_head(head, threshold, strict, broadcast_bytes)
         found.append(leaders.select(F.col("_id").alias("leader")))
         if len(found) > 32:
             found = [cut(_union(found))]
-        if size < chunk:
-            break
-        held = df.sparkSession.sparkContext.broadcast(K.unit(K.matrix(leaders.toArrow().column("_v"))))
+        if last is None:
+            return _union(found)
+        later = pending.filter(F.col("_id") > last[0])
+        pending = cut(without_covered(later, leaders, threshold, strict, broadcast_bytes))
+        chunk = min(2 * chunk, max_chunk_rows)
 
-        def drop_covered(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    keep = _uncovered(K.unit(K.matrix(batch.column("_v"))), held.value, threshold, strict)
-                    yield batch.filter(pa.array(keep))
 
-        pending = cut(pending.filter(F.col("_id") > last).mapInArrow(drop_covered, "_id long, _v array<double>"))
-        chunk = min(2 * chunk, max_chunk_rows)
-    return _union(found)
+def _settle_head(head: DataFrame, threshold: float, strict: bool, broadcast_bytes: int | None) -> DataFrame:
+    """The leaders (_id, _v) of a large head, in rounds over all tasks.
+
+    A row without an earlier open row in reach is a leader, whatever the others are; what it covers is settled, and the
+    rest is the next round. The first open row always is one, so every round gets on.
+    """
+    open_rows, found = cut(head), []
+    while True:
+        earlier = K.join_scores(
+            open_rows.select(F.col("_id").alias("_p"), "_v"), open_rows, K.earlier_in_reach(threshold, strict), "id long",
+            small_keys=["_p"], large_keys=["_id"], vec="_v", broadcast_bytes=broadcast_bytes,
+        )
+        blocked = cut(earlier.select(F.col("id").alias("_id")).distinct())
+        free = cut(open_rows.join(blocked, "_id", "left_anti"))
+        found.append(free)
+        left = without_covered(open_rows.join(blocked, "_id", "left_semi"), free, threshold, strict, broadcast_bytes)
+        open_rows = cut(left)
+        if open_rows.isEmpty():
+            return cut(_union(found))
+
+
+def without_covered(
+    rows: DataFrame, leaders: DataFrame, threshold: float, strict: bool, broadcast_bytes: int | None = None
+) -> DataFrame:
+    """``rows`` (_id, _v) that no leader reaches, filtered where they are; many leaders are read in parts by each task."""
+    n, width = K.shape(leaders, "_v")
+    spark = rows.sparkSession
+    if n * width * 8 <= (K.BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes):
+        held = spark.sparkContext.broadcast(K.unit(K.matrix(leaders.toArrow().column("_v"))))
+
+        def parts() -> Iterator[np.ndarray]:
+            yield held.value
+    else:
+        count = max(1, -(-n // K.rows_per_block(width)))
+        folder = K.parts_of(leaders, count, "_id")
+
+        def parts() -> Iterator[np.ndarray]:
+            for k in range(count):
+                table = K.read_part(folder, k, ["_v"])
+                if table is not None:
+                    yield K.unit(K.matrix(table.column("_v")))
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in K.blocks(batches, K.BLOCK_BYTES):
+            for ahead in parts():
+                if table.num_rows:
+                    table = table.filter(pa.array(_uncovered(K.unit(K.matrix(table.column("_v"))), ahead, threshold, strict)))
+            yield from table.to_batches()
+
+    return rows.select("_id", "_v").mapInArrow(drop, "_id long, _v array<double>")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -172,10 +217,12 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def greedy_leader_clusters(
     df: DataFrame, threshold: float = LEADER_THRESHOLD, *, id_col: str = "seq", vec: str = "embedding",
-    chunk_rows: int = 512, broadcast_bytes: int | None = None,
+    chunk_rows: int = 512, task_rows: int = 8192, broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """(id, leader): the nearest leader among those that came earlier, ties to the smallest; leaders lead themselves."""
-    leaders = cut(greedy_leaders(df, threshold, id_col=id_col, vec=vec, chunk_rows=chunk_rows))
+    leaders = cut(greedy_leaders(
+        df, threshold, id_col=id_col, vec=vec, chunk_rows=chunk_rows, task_rows=task_rows, broadcast_bytes=broadcast_bytes
+    ))
     items = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).alias("_v"))
     ahead = items.join(leaders, F.col("_id") == F.col("leader"), "left_semi").withColumnRenamed("_id", "_p")
     behind = items.join(leaders, F.col("_id") == F.col("leader"), "left_anti")
@@ -199,12 +246,12 @@ def nearest_partner(
 
 def grouped_leaders(
     df: DataFrame, group: str, threshold: float, *, id_col: str = "id", vec: str = "embedding", strict: bool = False,
-    chunk_rows: int = 1000, max_chunk_rows: int = 8192,
+    chunk_rows: int = 1000, max_chunk_rows: int = 8192, large_rows: int = 1 << 20,
 ) -> DataFrame:
     """First-leader ids inside each group (a null group is one group).
 
     A round settles the first ``chunk_rows`` open ids of every group, a head that grows up to ``max_chunk_rows``, so
-    groups of ordinary size are done after one round. The rest of larger groups is salted over as many tasks as its size asks for and the new leaders, a
+    groups of ordinary size are done after one round. Groups of more than ``large_rows`` are settled by ``greedy_leaders``. The rest of other groups is salted over as many tasks as its size asks for and the new leaders, a
     bounded number per group, are sent to each of them.
     """
     keyed = F.struct(F.col(group).isNull().alias("none"), F.coalesce(F.col(group).cast("string"), F.lit("")).alias("k"))
@@ -215,6 +262,13 @@ def grouped_leaders(
     in_order = Window.partitionBy("_g").orderBy("_id")
     schema = "_g string, _id long, _v array<double>"
     found: list[DataFrame] = []
+    # A group beyond ``large_rows`` (there are at most rows / large_rows) is a table of its own.
+    large = [r[0] for r in pending.groupBy("_g").count().filter(F.col("count") > large_rows).select("_g").collect()]
+    for g in large:
+        own = pending.filter(F.col("_g") == g)
+        found.append(greedy_leaders(own, threshold, id_col="_id", vec="_v", strict=strict))
+    if large:
+        pending = cut(pending.filter(~F.col("_g").isin(large)))
     while True:  # each round settles the heads of all open groups
         head = pending.withColumn("_rn", F.row_number().over(in_order)).filter(F.col("_rn") <= chunk_rows).drop("_rn")
         settled = cut(

@@ -129,12 +129,13 @@ def rebuild_photo_people(
 
 
 def duplicate_faces(
-    faces: DataFrame, threshold: float = DUPLICATE_THRESHOLD, *, video_id: int | None = None, chunk_rows: int = 1000
+    faces: DataFrame, threshold: float = DUPLICATE_THRESHOLD, *, video_id: int | None = None, chunk_rows: int = 1000,
+    large_rows: int = 1 << 20,
 ) -> DataFrame:
     """Ids of faces more similar than the threshold to an earlier kept face of the same person."""
     if video_id is not None:
         faces = faces.filter(F.col("video_id") == video_id)
-    kept = grouped_leaders(faces, "person_id", threshold, strict=True, chunk_rows=chunk_rows)
+    kept = grouped_leaders(faces, "person_id", threshold, strict=True, chunk_rows=chunk_rows, large_rows=large_rows)
     return faces.select("id").join(kept, F.col("id") == F.col("leader"), "left_anti")
 
 

@@ -331,6 +331,20 @@ def best_one(mode: str = "any"):
     return kernel
 
 
+def earlier_in_reach(threshold: float, strict: bool = False):
+    """Rows of the large side that a row of the small side with a smaller id reaches."""
+
+    def kernel(partners, rows):
+        (pcols, pmat), (rcols, rmat) = partners, rows
+        for part in tiles(len(rmat), len(pmat)):
+            s = similarities(rmat[part], pmat)
+            ids = rcols["_id"][part]
+            hit = (s > threshold if strict else s >= threshold) & (pcols["_p"][None, :] < ids[:, None])
+            yield {"id": ids[hit.any(axis=1)]}
+
+    return kernel
+
+
 def over_threshold(threshold: float, strict: bool = False):
     """Pairs of a self-join at or above the threshold, smaller id first."""
 

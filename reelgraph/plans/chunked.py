@@ -53,12 +53,12 @@ def _(t):
 
 @again("leader_clusters", "leader_clusters_small_heads")
 def _(t):
-    return C.greedy_leader_clusters(t.vectors, 0.35, chunk_rows=32, broadcast_bytes=0)
+    return C.greedy_leader_clusters(t.vectors, 0.35, chunk_rows=16, task_rows=32, broadcast_bytes=0)
 
 
 @again("duplicate_faces", "duplicate_faces_small_heads")
 def _(t):
-    return I.duplicate_faces(people.faces(t), 0.25, chunk_rows=32)
+    return I.duplicate_faces(people.faces(t), 0.25, chunk_rows=32, large_rows=50)
 
 
 @again("best_person", "best_person_chunked")

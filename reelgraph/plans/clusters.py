@@ -44,15 +44,19 @@ def linkage_sql(table: str, threshold: float) -> str:
     merged AS (SELECT seq, label FROM merges WHERE step = (SELECT max(step) FROM merges))"""
 
 
-#: Leaders at 0.35, the linkage of their centroids at 0.30, labels in the order of the least member.
-TWO_STAGE_SQL = LEADER_SQL + """,
+def two_stage_sql(threshold: float, merge: float) -> str:
+    """Leaders, the linkage of their centroids, labels in the order of the least member, sizes (n)."""
+    return LEADER_SQL.replace("0.35", str(threshold)) + """,
     parts AS (SELECT leader, pos, sum(x) AS x FROM clusters JOIN elements USING (seq) GROUP BY leader, pos),
     means AS (SELECT leader AS seq, list(x ORDER BY pos) AS m FROM parts GROUP BY leader),
-    centers AS (SELECT seq, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM means),""" + linkage_sql("centers", 0.30) + """,
+    centers AS (SELECT seq, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM means),""" + linkage_sql("centers", merge) + """,
     grouped AS (SELECT c.seq, m.label AS cluster FROM clusters c JOIN merged m ON m.seq = c.leader),
     labelled AS (SELECT seq, dense_rank() OVER (ORDER BY cluster) - 1 AS label, count(*) OVER (PARTITION BY cluster) AS n FROM grouped)"""
 
 
+TWO_STAGE_SQL = two_stage_sql(0.35, 0.30)
+
+
 @query("similar_pairs", "C2", f"""
     WITH {PAIR_SQL} SELECT src, dst, round(sim, 6) AS sim FROM pairs WHERE sim >= 0.35""", "vectors")
 def _(t):
@@ -100,15 +104,13 @@ def _(t):
     return C.cluster_count(C.mark_small_clusters(_length_groups(t), 3))
 
 
-@query("threshold_sweep", "C23", f"""
-    WITH {PAIR_SQL},
-    levels AS (SELECT unnest([0.3, 0.35, 0.4]::DOUBLE[]) AS t),
-    near AS (SELECT t, v.seq, coalesce(list(p.src) FILTER (p.src IS NOT NULL), []) AS ahead
-             FROM levels CROSS JOIN vectors v LEFT JOIN pairs p ON p.dst = v.seq AND p.sim >= t GROUP BY t, v.seq),
-    walk AS (SELECT t, 0::BIGINT AS i, [0::BIGINT] AS leaders FROM levels
-        UNION ALL /* step */
-        SELECT w.t, w.i + 1, CASE WHEN list_has_any(w.leaders, n.ahead) THEN w.leaders ELSE list_append(w.leaders, w.i + 1) END
-        FROM walk w JOIN near n ON n.seq = w.i + 1 AND n.t = w.t)
-    SELECT t AS threshold, max(len(leaders))::BIGINT AS clusters FROM walk GROUP BY t""", "vectors")
+_SWEEP = " UNION ALL ".join(
+    f"SELECT {t}::DOUBLE AS threshold, clusters FROM (WITH RECURSIVE {two_stage_sql(t, 0.40)}"
+    " SELECT count(DISTINCT label)::BIGINT AS clusters FROM labelled)"
+    for t in (0.3, 0.35, 0.4)
+)
+
+
+@query("threshold_sweep", "C23", _SWEEP, "vectors elements")
 def _(t):
-    return C.threshold_sweep(t.vectors, [0.30, 0.35, 0.40], merge_threshold=None)
+    return C.threshold_sweep(t.vectors, [0.30, 0.35, 0.40])
