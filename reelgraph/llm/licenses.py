@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 GATE = "licen"  # every rule needs it, so texts without it are not looked at
 
-#: A label, a keyword that its rules need, and the names that its licences go by, as words in lower case.
+#: A label, a keyword that each of the names holds, and names that its licences go by, as words in lower
+#: case. Names with no keyword in common have entries of their own under one label.
 FAMILIES = [
-    ("mit", "mit", "mit|expat"),
+    ("mit", "mit", "mit"),
+    ("mit", "expat", "expat"),
     ("apache", "apache", "apache(?: software)?"),
     ("gpl", "g", "gnu gpl|gpl(?:v ?[123])?|(?:gnu )?general public"),
     ("lgpl", "l", "gnu lgpl|lgpl(?:v ?[23])?|(?:gnu )?(?:lesser|library) general public"),
@@ -26,12 +28,15 @@ FAMILIES = [
     ("cddl", "d", "cddl|common development and distribution"),
     ("isc", "isc", "isc"),
     ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("libpng", "libpng", "libpng|png reference library"),
+    ("libpng", "png", "libpng|png reference library"),
     ("unlicense", "unlicense", "the unlicense|unlicense"),
-    ("wtfpl", "wtf", "wtfpl|do what the f[a-z]+ you want to public"),
+    ("wtfpl", "wtfpl", "wtfpl"),
+    ("wtfpl", "do what the f", "do what the f[a-z]+ you want to public"),
     ("cc0", "c", "cc0(?: 1 0)?|creative commons zero"),
-    ("cc-by-nc-nd", "nd", "cc by nc nd|creative commons attribution non ?commercial no ?deriv[a-z]*"),
-    ("cc-by-nc-sa", "sa", "cc by nc sa|creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd"),
+    ("cc-by-nc-nd", "creative commons attribution non", "creative commons attribution non ?commercial no ?deriv[a-z]*"),
+    ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa"),
+    ("cc-by-nc-sa", "creative commons attribution non", "creative commons attribution non ?commercial share ?alike"),
     ("cc-by-nc", "n", "cc by nc|creative commons attribution non ?commercial"),
     ("cc-by-nd", "n", "cc by nd|creative commons attribution no ?deriv[a-z]*"),
     ("cc-by-sa", "s", "cc by sa|creative commons attribution share ?alike"),
@@ -53,7 +58,8 @@ FAMILIES = [
     ("upl", "u", "upl|universal permissive"),
     ("vim", "vim", "vim"),
     ("w3c", "w3c", "w3c(?: software(?: notice and)?)?"),
-    ("x11", "x11", "x11|x consortium"),
+    ("x11", "x11", "x11"),
+    ("x11", "x consortium", "x consortium"),
     ("zpl", "z", "zpl|zope public"),
     ("sleepycat", "sleepycat", "sleepycat"),
     ("beerware", "beer", "beer ?ware"),
@@ -69,7 +75,8 @@ FAMILIES = [
     ("sspl", "s", "sspl|server side public"),
     ("busl", "b", "busl|business source"),
     ("elastic", "elastic", "elastic"),
-    ("proprietary", "p", "proprietary|commercial"),
+    ("proprietary", "proprietary", "proprietary"),
+    ("proprietary", "commercial", "commercial"),
 ]
 
 _VERSION = r"(?: version)?(?: v? ?[0-9]+(?: [0-9]+)?)?"
