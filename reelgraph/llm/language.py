@@ -152,8 +152,9 @@ def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
         grid.reshape(-1)[r * SPAN : r * SPAN + n] = np.frombuffer(t, np.uint8)
     sums = np.zeros((len(texts), len(model.langs)))
     order = np.argsort(-np.minimum(SPAN, sizes[owner] - SPAN * (np.arange(len(owner)) - row[owner])), kind="stable")
-    for at in range(0, len(grid), 1024):  # spans of like length side by side
-        own = order[at : at + 1024]
+    side = max(1, 1024 * 64 // max(64, len(model.langs)))  # fewer where each has more probabilities
+    for at in range(0, len(grid), side):  # spans of like length side by side
+        own = order[at : at + side]
         codes = grid[own]
         length = int((codes < 256).sum(1).max())
         codes = np.ascontiguousarray(codes[:, :length].T)
@@ -163,22 +164,29 @@ def pooled(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, most: int = TRAIN_DOCS) -> tuple[list[bytes], list[str]]:
-    """At most ``most`` documents (text, lang) of ``docs``, about as many of each language, cut to TRAIN_BYTES.
+    """About ``most`` documents (text, lang) of ``docs``, as many of each language, cut to TRAIN_BYTES.
 
-    The smallest hashes of each language are taken by an aggregate with partial sums, so no language meets in one task.
+    Rows are chosen by a hash of the id. Every language gives a row at least, also where there are more of them than
+    ``most``; their names and counts are one small table, as the model has weights for each.
     """
     at = F.floor(F.rand(SEED) * F.greatest(F.lit(1), F.length("text") - F.lit(TRAIN_BYTES // 2)))
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    share = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()
-    each = most // max(1, len(share))
+    share = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not share:
         return [], []
-    rate = F.lit(0.0)
-    for r in share:
-        rate = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 1.2 * each / r["n"]))).otherwise(rate)
-    lucky = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) < rate * 1_000_003
-    part = F.substring("text", 1 + at.cast("int"), TRAIN_BYTES // 2)
-    got = rows.filter(lucky).select("lang", part.alias("text")).limit(2 * most).collect()
+    each = max(1, most // len(share))
+    part = F.substring("text", 1 + at.cast("int"), TRAIN_BYTES // 2).alias("text")
+
+    def of(chosen: list[tuple[str, float]]) -> DataFrame:
+        return rows.join(F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, rate double")), "lang")
+
+    lucky = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_003)) < F.col("rate") * 1_000_003
+    some = of([(r["lang"], min(1.0, 1.2 * each / r["n"])) for r in share])
+    got = some.filter(lucky).select("lang", part).limit(2 * max(most, len(share))).collect()
+    missed = {r["lang"] for r in share} - {r["lang"] for r in got}
+    if missed:  # no row of theirs was chosen: the one of the smallest hash
+        one = of([(x, 1.0) for x in sorted(missed)]).select("lang", F.xxhash64("doc_id", F.lit(SEED)).alias("turn"), part)
+        got += one.groupBy("lang").agg(F.min(F.struct("turn", "text")).getField("text").alias("text")).collect()
     return [r["text"].encode() for r in got], [r["lang"] for r in got]
 
 
