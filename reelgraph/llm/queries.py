@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgraph.llm import bpe, embeddings, language, licenses, packing, quality, rules, simhash, suffix, warc
+from reelgraph.llm import (
+    alignment, bpe, embeddings, language, licenses, packing, quality, rules, simhash, suffix, tree_bpe, warc, whitening,
+)
 from reelgraph.llm.common import crc_fold
 
 
@@ -54,10 +56,22 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_language, op4_warc, op5_suffix_dedup, op6_embedding_dedup, op7_packing, op8_licenses,
-        op9_bpe, op10_rules,
+        op9_bpe, op10_rules, op11_tree_bpe, op12_whitening, op13_alignment,
     )
 }
