@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +12,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgraph.llm.common import arrow_batches, saved, slices
+from reelgraph.llm.libraries import byte_pairs, vocabulary
 
 SEQUENCE = 2048
 END = 1
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 ROWS, TEXT_BYTES = 1000, 2 << 20  # what a task tokenizes at once
 CHUNK_BYTES = 1 << 21  # ids of one document are cut in a task, pieces leave it in batches of about this size
 
@@ -27,33 +25,15 @@ PIECES = pa.schema([
 ])
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
-@lru_cache(1)
-def _encoding(path: str):
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(
-        "byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID}
-    )
-
-
-def tokenized(docs: DataFrame, ranks_path: str, end: int = END) -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, part, before, n_tokens, ids): ids as little-endian uint32 with ``end`` last; before: ids in its part so far."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, part, total = _encoding(ranks_path), TaskContext.get().partitionId(), 0
+        encoding, part, total = byte_pairs(path, True), TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text", TEXT_BYTES):
             ids, before, counts = [], [], []
             for text in batch.column("text").to_pylist():
-                x = encoding.encode(text or "", allowed_special="all")
+                x = encoding.encode(text or "")
                 x.append(end)
                 ids.append(np.array(x, "<u4").tobytes())
                 before.append(total)
@@ -95,7 +75,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, ranks_path: str | None = None
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, path: str | None = None
 ) -> DataFrame:
     """One row a piece: its document, place there, ids and place in the packed sequences.
 
@@ -104,12 +84,12 @@ def pack(
     partitions; the second adds the totals of the partitions before and cuts each document by itself, since its global
     offset says where windows begin. A document over a boundary gives a piece for each side.
 
-    A null or empty text is the end id alone. A null id is carried along. Repeated rows are packed each. An empty table
+    A null or empty text is the end id alone. Long texts, and long runs of one character, are taken whole. A null id is carried along. Repeated rows are packed each. An empty table
     gives no piece. Other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     with arrow_batches(docs.sparkSession, ROWS):
-        ids = saved(tokenized(docs, ranks_path or vocabulary()), "tokens", compression="zstd")
+        ids = saved(tokenized(docs, path or vocabulary()), "tokens", compression="zstd")
     # One row a partition of the first pass: small by construction, whatever the documents.
     totals = ids.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from reelgraph.llm import bpe, packing
+from reelgraph.llm import bpe, libraries, packing
 from tests.llm import data
 
 
@@ -83,3 +83,23 @@ def test_packing(spark, tokenizer, length):
 
 def test_packing_nothing(spark):
     assert packing.pack(data.documents(spark, [])).count() == 0
+
+
+def test_runs_that_one_library_gives_up_on(spark, tokenizer):
+    """A million blanks: the rank library raises, and the other one goes on."""
+    runs = [" " * 1_000_000, "\n" * 1_000_000 + "x", "y" * 1_000_000, " " * 1_100_000 + "<|endoftext|>"]
+    pieces = packing.pack(data.documents(spark, list(enumerate(runs)))).collect()
+    got = {}
+    for p in sorted(pieces, key=lambda p: (p["doc_id"], p["start"])):
+        got.setdefault(p["doc_id"], []).extend(np.frombuffer(p["ids"], "<u4").tolist())
+    assert got == {k: ids_of(tokenizer, t) + [1] for k, t in enumerate(runs)}
+
+
+def test_the_libraries_agree(tokenizer):
+    both = [libraries.BytePairs(libraries.vocabulary(), special) for special in (False, True)]
+    assert both[0].fast is not None
+    rng = random.Random(8)
+    parts = ["a", " ", "  ", "\n", "'s", "1", "é", "\x85", "!", "the", "<|endoftext|>", "²", "🙂", "ing", "er", "un"]
+    for text in ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(500)]:
+        for b in both:
+            assert b.encode(text) == b.slow.encode(text, add_special_tokens=False).ids
