@@ -28,26 +28,34 @@ TILE = 1 << 12  # node pairs compared at once; each may bring FAN * FAN pairs of
 # ---------------------------------------------------------------- fingerprints
 
 
-def fingerprint(text: str | None, words: int = SHINGLE) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's word shingles, repeats included; a text of fewer words is one shingle, one without words none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # on bytes: A-Z, space and \x09-\x0D only
     if not parts:
-        return 0
+        return np.empty(0, np.uint64)
     whole = b" ".join(parts)
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        return np.array([xxhash.xxh64_intdigest(whole, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.r_[0, ends[:-1] + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array(
-        [digest(whole[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())], ">u8"
-    )
+    return np.array([digest(whole[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist())], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are those that are set in over half the hashes."""
+    hashes = hashes.astype(">u8")
     set_bits = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         set_bits += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * set_bits > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = SHINGLE) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of ``docs`` (doc_id, text); fp is the fingerprint's 64 bits as a long."""
 
@@ -253,25 +261,15 @@ def near_duplicates(
     with arrow_batches(docs.sparkSession, ROWS):
         coded = saved(fingerprints(docs, words), "fingerprints")
     heads = saved(coded.groupBy("fp").agg(F.min("doc_id").alias("head")), "fingerprint-heads")
-    edges = links(heads.select("fp"), distance)
-    nodes = edges.select(F.col("src").alias("fp")).union(edges.select(F.col("dst").alias("fp"))).distinct()
-    roots = connected_components(nodes, edges, "fp")
-    grouped = heads.join(roots, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    grouped = heads.join(components(heads, distance), "fp")
     smallest = grouped.groupBy("component").agg(F.min("head").alias("component_id"))
     classes = grouped.join(smallest, "component").select("fp", "component_id")
     return coded.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that are the smallest of their component; one of repeated rows stays.
-
-    Documents with a null id stay, since nothing tells them apart.
-    """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    key = "__simhash_key"  # an id with a mark, or a number of its own
-    named = F.concat(F.lit("i"), F.col(id_col).cast("long").cast("string"))
-    dropped = found.filter(F.col("doc_id") != F.col("component_id")).select(
-        F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias(key)
-    ).distinct()
-    keyed = docs.withColumn(key, F.coalesce(named, F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))))
-    return keyed.join(dropped, key, "left_anti").dropDuplicates([key]).drop(key)
+def components(codes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, component) of different fingerprints: those that links reach have a component in common, one of its fingerprints."""
+    edges = links(codes.select("fp"), distance)
+    nodes = edges.select(F.col("src").alias("fp")).union(edges.select(F.col("dst").alias("fp"))).distinct()
+    roots = connected_components(nodes, edges, "fp")
+    return codes.select("fp").join(roots, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))

@@ -5,8 +5,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from reelgraph.llm import bpe, quality, rules
 from tests.llm import data
+from tests.llm.test_near_copies import expected as copies
 from tests.llm.test_rules import plain
-from tests.llm.test_simhash import plain_fingerprint
 from tests.llm.test_suffix import expected as without_repeats
 
 
@@ -34,11 +34,7 @@ def test_stages_on_the_small_table(spark):
 
     single = steps["near_duplicates"](spark, good, folder).cache()
     assert single.columns == docs.columns
-    left = sorted(rows_of(good).items())
-    prints = [plain_fingerprint(t) for _, t in left]
-    links = [(i, j) for i in range(len(left)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
-    roots = data.components(len(left), links)
-    assert set(rows_of(single)) == {left[r][0] for r in roots}
+    assert set(rows_of(single)) == {least for _, least in copies(sorted(rows_of(good).items()))}
 
     cut = steps["repeated_passages"](spark, single, folder).cache()
     assert cut.columns == docs.columns and dict(cut.dtypes) == dict(docs.dtypes)

@@ -41,7 +41,6 @@ def test_small_table(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicates(data.documents(spark, []).limit(0)).count() == 0
-    assert simhash.keep_one(data.documents(spark, [])).columns == data.SCHEMA.fieldNames()
 
 
 def test_equal_to_spark_hash(spark):
@@ -65,10 +64,3 @@ def test_walk_finds_all_pairs():
             assert not got[i, j].any()
             got[i, j] = True
         assert (got == want).all()
-
-
-def test_keep_one(spark):
-    kept = data.result(simhash.keep_one(data.documents(spark)).select("doc_id", "text", "kept"))
-    want = {c for _, _, c in expected(data.texts()) if c is not None}
-    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(want)
-    assert sum(r["doc_id"] is None for r in kept) == 2
