@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reelgraph.functions.text import PLACEHOLDER_LABEL, basename, clean_queries, expand_queries
 from reelgraph.operators import identity as I
+from reelgraph.operators.linking import link_faces_in_order
 from reelgraph.operators import labeling as L
 from reelgraph.operators import library as LB
 from reelgraph.operators import registry as R
@@ -164,7 +165,7 @@ def index_videos(
     faces = faces.join(ids.select("video_id"), "video_id", "left_anti").select(*faces.columns)
     next_person = persons.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
     next_face = faces.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    linked, fresh = I.link_faces(detections.join(ids, "file_name"), faces, next_person)
+    linked, fresh, _ = link_faces_in_order(detections.join(ids, "file_name"), faces, next_person)
     numbered = with_row_number(cut(linked), "det_id", name="_n")
     new_faces = numbered.select(
         (F.lit(next_face) + F.col("_n")).alias("id"), "video_id", "person_id", "embedding",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgraph.operators import identity as I
+from reelgraph.operators.linking import link_faces_in_order
 from reelgraph.plans.catalog import query
 from reelgraph.plans.clusters import COMPONENT_SQL, PAIR_SQL, TWO_STAGE_SQL
 
@@ -177,5 +178,47 @@ def _(t):
     return persons.select("id")
 
 
-LINK_SQL = _LINK
+# Detection after detection: the nearest that it sees (stored, or of its video), the registry first among equals.
+ORDER_SQL = f"""
+    {_FACES}, {_BEST}, {PAIR_SQL},
+    good AS (SELECT id, video_id, row_number() OVER (ORDER BY id) AS i FROM vfaces WHERE person_id >= 5 AND confidence >= 0.35
+             AND (pose_yaw IS NULL OR abs(pose_yaw) <= 75)),
+    near AS (SELECT g.i, g.id, g.video_id, b.person_id AS known, b.sim,
+                 coalesce(list({{'s': p.sim, 'i': a.i, 'same': a.video_id = g.video_id}} ORDER BY p.sim DESC, a.i) FILTER (a.i IS NOT NULL), []) AS ahead
+             FROM good g LEFT JOIN best b ON b.id = g.id AND b.r = 1 AND b.sim >= 0.32
+                 LEFT JOIN (pairs p JOIN good a ON a.id = p.src) ON p.dst = g.id AND p.sim >= 0.32 GROUP BY ALL),
+    walk AS (
+        SELECT 0::BIGINT AS i, []::BIGINT[] AS persons, []::BOOLEAN[] AS stored, []::VARCHAR[] AS linked, 100::BIGINT AS next
+        UNION ALL /* step */
+        SELECT i, list_append(persons, p), list_append(stored, NOT list_contains(linked, key)), list_append(linked, key), next + (p = next)::BIGINT
+        FROM (
+            SELECT *, video_id || '/' || p AS key FROM (
+                SELECT *, CASE WHEN c.s > coalesce(sim, -1) THEN persons[c.i] WHEN sim IS NOT NULL THEN known ELSE next END AS p
+                FROM (SELECT n.*, w.persons, w.stored, w.linked, w.next, list_filter(n.ahead, lambda x: x.same OR w.stored[x.i])[1] AS c
+                      FROM walk w JOIN near n ON n.i = w.i + 1)))),
+    done AS (SELECT unnest(persons) AS person_id, unnest(stored) AS stored, generate_subscripts(persons, 1) AS i
+             FROM walk WHERE i = (SELECT max(i) FROM walk))"""
+
+
+@query("linked_faces_in_order", "F8 B13 C5", f"""
+    WITH {ORDER_SQL} SELECT id, video_id, person_id FROM done JOIN good USING (i) WHERE stored""", "vectors")
+def _(t):
+    linked, _, _ = link_faces_in_order(detections(t), _faces(t).filter("person_id < 5"), 100)
+    return linked.select(F.col("det_id").alias("id"), "video_id", "person_id")
+
+
+@query("linked_faces_by_heads", "F8", f"""
+    WITH {ORDER_SQL} SELECT id, video_id, person_id, stored FROM done JOIN good USING (i)""", "vectors")
+def _(t):
+    # Groups of more than a few rows go on in heads, as a person with millions of faces does.
+    _, _, seen = link_faces_in_order(detections(t), _faces(t).filter("person_id < 5"), 100, task_rows=64, broadcast_bytes=0)
+    return seen.select(F.col("det_id").alias("id"), "video_id", "person_id", "stored")
+
+
+@query("new_persons_in_order", "F8", f"""
+    WITH {ORDER_SQL} SELECT DISTINCT person_id AS id FROM done WHERE person_id >= 100""", "vectors")
+def _(t):
+    return link_faces_in_order(detections(t), _faces(t).filter("person_id < 5"), 100)[1].select("id")
+
+
 faces = _faces

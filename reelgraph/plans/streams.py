@@ -10,10 +10,11 @@ from reelgraph.plans import people
 from reelgraph.plans.catalog import query
 from reelgraph.plans.columns import _PROMPT_SQL, part_queries
 from reelgraph.plans.libraries import _RATES
-from reelgraph.plans.people import LINK_SQL
+from reelgraph.plans.people import ORDER_SQL
 from reelgraph.plans.tables import scratch
 from reelgraph.sources import encoders as EN
 from reelgraph.sources import vector_table as VT
+from reelgraph.sources.table_store import TableStore
 from reelgraph.streaming import ingest as N
 
 LETTERS = "aeinrst"
@@ -108,11 +109,6 @@ def _(t):
     return _throughput(t)
 
 
-@query("folded_throughput", "I4 E12", _RATES + " SELECT job, round(rate, 6) AS rate, n FROM a")
-def _(t):
-    return _throughput(t)
-
-
 @query("drained_queue", "I3", """
     SELECT doc_id, lang, (SELECT count(*) FROM documents) AS handled, (SELECT count(DISTINCT lang) FROM documents) AS langs FROM documents""")
 def _(t):
@@ -131,25 +127,27 @@ def _(t):
     return rows.select("doc_id", "lang", F.lit(handled).cast("long").alias("handled"), summary.scalar().alias("langs"))
 
 
-@query("streamed_links", "I5 F8", f"WITH {LINK_SQL} SELECT id, video_id, person_id FROM once WHERE r = 1", "vectors")
-def _(t):
+def _streamed_links(t) -> TableStore:
+    """A registry after detections have come in five batches, the second of which came twice."""
     out = scratch(t)
-    known = people.faces(t).filter("person_id < 5")
-
-    def write(linked: DataFrame, new_persons: DataFrame, batch_id: int) -> None:
-        linked.select(F.col("det_id").alias("id"), "video_id", "person_id").write.mode("overwrite").parquet(
-            f"{out}/links/batch={batch_id}"
-        )
-
+    store = TableStore(t.spark, f"{out}/registry")
+    N.start_registry(store, people.faces(t).filter("person_id < 5"), 100)
     live = type(t)(t.spark, t.sf_dir)
-    live.vectors = stream(t, "embeddings", 1).select(F.col("vec_id").alias("seq"), "embedding", "label")
+    live.vectors = in_order(t, "embeddings", "vec_id", 5).select(F.col("vec_id").alias("seq"), "embedding", "label")
+    link = N.link_batch(store)
 
     def each(batch: DataFrame, batch_id: int) -> int:
-        N.link_batch(lambda: known, write, lambda: 100)(batch, batch_id)
-        return batch.count()
+        found = link(batch, batch_id)
+        return found + link(batch, batch_id) if batch_id == 1 else found
 
     N.drain(people.detections(live), each, lambda: None, f"{out}/state")
-    return t.spark.read.parquet(f"{out}/links").select("id", "video_id", "person_id")
+    return store
+
+
+@query("streamed_links", "I5 F8", f"""
+    WITH {ORDER_SQL} SELECT id, video_id, person_id FROM done JOIN good USING (i) WHERE stored""", "vectors")
+def _(t):
+    return _streamed_links(t).read("linked").select(F.col("det_id").alias("id"), "video_id", "person_id")
 
 
 @query("streamed_vectors", "I1 I2 A11", f"""

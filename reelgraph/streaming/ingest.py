@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from reelgraph.functions.media import WATCHED_IMAGE_EXTENSIONS, has_extension
-from reelgraph.operators.identity import link_faces
+from reelgraph.operators.identity import LINK_THRESHOLD
 from reelgraph.operators.library import cached_live_unindexed
+from reelgraph.operators.linking import SEEN, link_faces_in_order
 from reelgraph.operators.progress import fold_averages
 from reelgraph.schemas import FILES
+from reelgraph.session import cut
 from reelgraph.sources.encoders import Encoder, embed_photos, valid_vectors
+from reelgraph.sources.table_store import TableStore
+
+LINKED = "det_id long, video_id long, person_id long, sim double, embedding array<double>"
 
 
 def watch_images(spark: SparkSession, folder: str, *, max_files: int | None = None) -> DataFrame:
@@ -147,11 +152,38 @@ def seed_empty(semantic: DataFrame, face: DataFrame, signatures: DataFrame) -> D
     return scanned.join(signatures, "path").select("path", "mtime_ns", "size")
 
 
-def link_batch(read: Callable[[], DataFrame], write: Callable[[DataFrame, DataFrame, int], None], next_person: Callable[[], int]):
-    """``foreachBatch`` body that links detections to the registry as it is when the batch starts."""
+# ---------------------------------------------------------------- linking against a stored registry
+
+
+def start_registry(store: TableStore, faces: DataFrame, next_person_id: int) -> None:
+    """The first version of a registry that ``link_batch`` goes on with: faces, no new people, nothing seen yet."""
+    spark = faces.sparkSession
+    known = faces.select(F.col("person_id").cast("long"), F.col("embedding").cast("array<double>"))
+    empty = {"linked": LINKED, "persons": "id long, name string", "seen": SEEN}
+    tables = {"faces": known} | {name: spark.createDataFrame([], schema) for name, schema in empty.items()}
+    store.write(tables, facts={"next_person": next_person_id, "batch": -1})
+
+
+def link_batch(store: TableStore, threshold: float = LINK_THRESHOLD, **options) -> Callable[[DataFrame, int], int]:
+    """``foreachBatch`` body: link detections to the people in ``store`` and commit what it found with the batch's number.
+
+    Faces, people, the next id and what open videos have seen are read from the version that counts and written as the
+    next one, all at once. A batch that is repeated, after a failure before or after the commit, changes nothing that is
+    committed already. Returns how many detections the batch linked.
+    """
 
-    def each(detections: DataFrame, batch_id: int) -> None:
-        linked, new_persons = link_faces(detections, read(), next_person())
-        write(linked, new_persons, batch_id)
+    def each(detections: DataFrame, batch_id: int) -> int:
+        version = store.version()
+        facts = store.facts()
+        if facts["batch"] >= batch_id:
+            return 0
+        linked, people, seen = link_faces_in_order(
+            detections, store.read("faces"), facts["next_person"], threshold, seen=store.read("seen"), **options
+        )
+        new = cut(linked.select(*(F.col(name).cast(kind) for name, kind in (c.split() for c in LINKED.split(", ")))))
+        people, count = cut(people), new.count()
+        added = {"linked": new, "persons": people, "faces": new.select("person_id", "embedding"), "seen": seen}
+        store.write({}, append=added, base=version, facts={"next_person": facts["next_person"] + people.count(), "batch": batch_id})
+        return count
 
     return each
