@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,9 @@ from reelgraph.llm.common import Unions, arrow_batches, saved
 from reelgraph.operators.clustering import connected_components
 
 COSINE = 0.93
-PIVOTS = 64  # at most; they and their distances are what every task gets
-PIVOT_SAMPLE = 4096  # vectors that pivots are chosen from; any choice gives the same result
+PIVOTS = (1, 4, 16, 64)  # numbers of pivots to choose from; they and their distances are what every task gets
+PIVOT_SAMPLE = 4096  # vectors that pivots are chosen from and their worth is measured on; any choice gives the same result
+MOVED = 1000  # multiplications that take as long as sending one number on
 BLOCK = 2048  # vectors of a cell in one block
 SLACK = 1e-6  # added to distances for rounding
 TIE = 1e-12  # cosines this close to the bound are computed again, one by one
@@ -48,43 +50,73 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ pivots.T)))
 
 
-def _assign(pivots: np.ndarray, radius: float, reach: np.ndarray):
-    """Each vector in its home cell and in those cells where a vector within ``radius`` can be at home.
+def near_cells(x: np.ndarray, pivots: np.ndarray, radius: float, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each vector, and the cells where a vector within ``radius`` can be at home.
 
     With d(v, p) <= d(v, q) for home p, some u at home in q with d(u, v) <= r needs, by the triangle inequality,
     d(v, q) <= d(u, q) + r <= d(u, p) + r <= d(v, p) + 2 r, and d(v, q) <= r + the largest d(u, q) in the cell, which is
     ``reach`` (negative for a cell without vectors). On unit vectors the first bound is sharper as a distance to the
     plane between the pivots.
     """
+    d = distances(_unit(x), pivots)
     apart = np.maximum(distances(pivots, pivots), SLACK)
+    home = d.argmin(1)
+    least = d[np.arange(len(d)), home]
+    near = (reach >= 0) & (d <= reach + radius) & (d - least[:, None] <= 2 * radius)
+    near &= d**2 - least[:, None] ** 2 <= 2 * radius * apart[home]
+    near[np.arange(len(d)), home] = True
+    return home, near
+
+
+def worthwhile_pivots(sample: np.ndarray, radius: float, rows: float) -> np.ndarray:
+    """As many pivots as make the least work: pairs that still meet, of ``rows`` vectors, and copies sent to cells."""
+    every = choose_pivots(sample, max(PIVOTS))
+    costs = []
+    for k in sorted({min(k, len(every)) for k in PIVOTS}):
+        d = distances(_unit(sample), every[:k])
+        reach = np.full(k, -1.0)
+        np.maximum.at(reach, d.argmin(1), d.min(1) + SLACK)
+        home, near = near_cells(sample, every[:k], radius, reach)
+        pairs = (np.bincount(home, minlength=k) * near.sum(0)).sum() / len(sample) ** 2
+        costs.append((pairs * rows + MOVED * near.sum() / len(sample), k))
+    return every[: min(costs)[1]]
+
+
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    widths = pa.compute.list_value_length(batch.column("vec")).to_numpy(zero_copy_only=False)
+    for w in np.unique(widths).tolist():
+        yield w, batch if (widths == w).all() else batch.take(pa.array(np.flatnonzero(widths == w)))
+
+
+def _assign(pivots: dict[int, np.ndarray], radius: float, reach: dict[int, np.ndarray]):
+    """Each vector at home and in the other cells that it may be near to; one of a width without pivots in the only cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(_matrix(batch.column("vec")))
-            d = distances(x, pivots)
-            home = d.argmin(1)
-            least = d[np.arange(len(d)), home]
-            near = (reach >= 0) & (d <= reach + radius) & (d - least[:, None] <= 2 * radius)
-            near &= d**2 - least[:, None] ** 2 <= 2 * radius * apart[home]
-            near[np.arange(len(d)), home] = True
-            row, cell = np.nonzero(near)
-            part = batch.take(pa.array(row))
-            yield pa.record_batch(
-                [part.column("rep"), part.column("n"), part.column("label"), pa.array(cell == home[row]), pa.array(cell.astype(np.int32)), part.column("vec")],
-                names=["rep", "n", "label", "home", "cell", "vec"],
-            )
+            for w, rows in _by_width(batch) if batch.num_rows else ():
+                if w in pivots:
+                    home, near = near_cells(_matrix(rows.column("vec")), pivots[w], radius, reach[w])
+                else:
+                    home, near = np.zeros(rows.num_rows, int), np.ones((rows.num_rows, 1), bool)
+                row, cell = np.nonzero(near)
+                part = rows.take(pa.array(row))
+                yield pa.record_batch(
+                    [part.column("rep"), part.column("n"), part.column("label"), pa.array(cell == home[row]), pa.array(cell.astype(np.int32)), part.column("vec")],
+                    names=["rep", "n", "label", "home", "cell", "vec"],
+                )
 
     return run
 
 
-def _home(pivots: np.ndarray):
+def _home(pivots: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                d = distances(_unit(_matrix(batch.column("vec"))), pivots)
-                yield pa.record_batch([pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], names=["cell", "d"])
+            for w, rows in _by_width(batch) if batch.num_rows else ():
+                if w in pivots:
+                    d = distances(_unit(_matrix(rows.column("vec"))), pivots[w])
+                    yield pa.record_batch(
+                        [pa.array([w] * len(d), pa.int32()), pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], names=["width", "cell", "d"]
+                    )
 
     return run
 
@@ -147,16 +179,16 @@ def near_duplicates(
 
     Equal vectors of a label become one row with a count. Pivots cut the rest into cells; each cell is joined for
     itself, with the vectors from beyond its border that may be near, in pairs of blocks of bounded size, so a cell of
-    any size is many rows of work. Only counts and spanning links leave a block pair.
+    any size is many rows of work. Only counts and spanning links leave a block pair. How many pivots there are follows
+    from what they save on a sample; where they would prune next to nothing there is one cell, and nothing is copied.
 
-    Vectors that are null, zero, or hold a null or non-finite number link with nothing, nor do those with a null label,
-    a null id or of another length than most of the pivots' sample: they stand alone. Repeated rows count as other vectors. An empty table
-    gives an empty result. Other columns are ignored.
+    Vectors that are null, zero, or hold a null or non-finite number link with nothing, nor do those with a null label or
+    a null id: they stand alone. Vectors of different widths do not link; those of each width are joined for themselves.
+    Repeated rows count as other vectors. An empty table gives an empty result. Other columns are ignored.
     """
-    rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"),
-        F.col(vec_col).cast("array<double>").alias("vec"),
-    )
+    # Only vectors of one width can be compared, so the width is part of the label.
+    label = F.concat(F.size(vec_col).cast("string"), F.lit(" "), F.col(label_col).cast("string"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     fit = rows.filter(valid("vec") & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     same = fit.groupBy("label", "vec").agg(F.min("vec_id").alias("head"), F.count("*").alias("n"))
     reps = saved(same.withColumn("rep", F.monotonically_increasing_id()), "vector-reps")  # fixed once written
@@ -181,15 +213,19 @@ def near_duplicates(
 def _linked(reps: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     spark = reps.sparkSession
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
-    sample = np.array([r[0] for r in reps.select("vec").limit(PIVOT_SAMPLE).collect()], dtype=object)
-    width = int(np.median([len(v) for v in sample]))
-    pivots = choose_pivots(np.array([v for v in sample if len(v) == width], np.float64))
-    reps = reps.filter(F.size("vec") == width)
+    sample = [np.array(r[0], np.float64) for r in reps.select("vec").limit(PIVOT_SAMPLE).collect()]
+    by_width: dict[int, list[np.ndarray]] = {}
+    for v in sample:
+        by_width.setdefault(len(v), []).append(v)
+    # Of how many others a vector's label has: the sum of squares over the number.
+    sizes = reps.groupBy("label").count().agg(F.sum(F.col("count").cast("double") ** 2), F.sum("count")).first()
+    pivots = {w: worthwhile_pivots(np.array(own), radius, sizes[0] / sizes[1]) for w, own in by_width.items()}
     with arrow_batches(spark, 4096):
-        homes = reps.select("vec").mapInArrow(_home(pivots), "cell int, d double")
-        reach = np.full(len(pivots), -1.0)
-        for cell, far in homes.groupBy("cell").agg(F.max("d")).collect():  # a number for each pivot
-            reach[cell] = far + SLACK
+        reach = {w: np.full(len(p), -1.0) for w, p in pivots.items()}
+        if any(len(p) > 1 for p in pivots.values()):
+            homes = reps.select("vec").mapInArrow(_home(pivots), "width int, cell int, d double")
+            for w, cell, far in homes.groupBy("width", "cell").agg(F.max("d")).collect():  # a number for each pivot
+                reach[w][cell] = far + SLACK
         placed = saved(
             reps.select("rep", "n", "label", "vec").mapInArrow(_assign(pivots, radius, reach), ASSIGNED), "vector-members"
         )

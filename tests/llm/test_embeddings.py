@@ -41,9 +41,10 @@ def check(df, rows):
     assert sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=repr) == expected(rows)
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_odd_vectors(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, pivots", [(3, (1, 4, 16, 64)), (2048, (64,)), (4, (5,))])
+def test_odd_vectors(spark, monkeypatch, block, pivots):
     monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "PIVOTS", pivots)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(6, 8))
     near = base[rng.integers(0, 6, 60)] + rng.normal(scale=0.25, size=(60, 8))
@@ -64,3 +65,23 @@ def test_nothing(spark):
     assert embeddings.near_duplicates(frame(spark, [])).count() == 0
     rows = [(1, None, [1.0]), (2, 0, None)]
     check(frame(spark, rows), rows)
+
+
+@pytest.mark.parametrize("wide, pivots", [(4, (1, 4, 16, 64)), (8, (3,))])
+def test_two_widths(spark, monkeypatch, wide, pivots):
+    monkeypatch.setattr(embeddings, "PIVOTS", pivots)
+    rng = np.random.default_rng(7)
+    rows = []
+    for width, n in ((4, 12), (8, wide), (1, 3)):
+        base = rng.normal(size=width)
+        rows += [(100 * width + k, 0, (base + 0.1 * rng.normal(size=width)).tolist()) for k in range(n)]
+    check(frame(spark, rows), rows)
+
+
+def test_pivots_are_taken_where_they_prune():
+    rng = np.random.default_rng(8)
+    centres = 10 * np.eye(16)
+    apart = centres[rng.integers(0, 16, 2000)] + 0.1 * rng.normal(size=(2000, 16))
+    radius = (2 - 2 * embeddings.COSINE) ** 0.5
+    assert len(embeddings.worthwhile_pivots(apart, radius, 1e6)) == 16
+    assert len(embeddings.worthwhile_pivots(rng.normal(size=(2000, 64)), radius, 1e4)) == 1
