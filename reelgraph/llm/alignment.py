@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgraph.llm.common import arrow_batches, saved, slices, spread
+from reelgraph.llm.libraries import byte_pairs
 from reelgraph.operators.kernels import parts_of, read_part
 
+# White space in the sense of Unicode, and the sign that sentencepiece writes for a blank.
+SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLANK = chr(0x2581)
+#: Where blanks stand between a sign that is no white space and one that is no blank; the same more quickly for texts
+#: in which blanks stand after no other white space and not at the end.
+SEGMENTS, OTHERS, PLAIN = re.compile(f"(?<=[^{SPACE}])(?= +[^ ])"), re.compile(f"[{SPACE.replace(' ', '')}] | $"), re.compile(" +[^ ]+")
+
+KNOWN, KNOWN_BYTES = 1 << 19, 16 << 20  # different segments, and their letters, that a task remembers before it forgets all
 ROWS = 1000  # documents that a Python step gets at once
 TEXT_BYTES = 1 << 20  # text, or ids of one tokenizer, that a task works on at once
 BITS = 20  # of an id, so a pair has 40 bits and a document's number within a chunk has room beside it
@@ -54,29 +65,35 @@ class Tokens:
 
 
 class ByteLevel:
-    """The first tokenizer: the tokenizers library on a blank and the text; special tokens are plain text."""
+    """The first tokenizer: byte-level BPE; special tokens are plain text."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task for each core already
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.model.encode_special_tokens = True
-        prints = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        rest = [b for b in range(256) if b not in prints]
-        byte = {chr(b): b for b in prints} | {chr(256 + k): b for k, b in enumerate(rest)}
-        ids = self.model.get_vocab(with_added_tokens=False)
-        texts = {i: bytes(byte[c] for c in t) for t, i in ids.items() if all(c in byte for c in t)}
-        self.tokens = Tokens([texts.get(i, b"") for i in range(max(ids.values()) + 1)])
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        self.model = byte_pairs(path, False)
+        self.tokens = Tokens([self.model.raw.get(i, b"") for i in range(max(self.model.raw) + 1)])
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes) of segments, each of which starts with a blank.
+
+        Those that end with a sign that is no white space are encoded in one text, since no token goes from one to the next.
+        """
+        alone = [k for k, s in enumerate(segments) if s[-1] in SPACE]
+        joined = [s for s in segments if s[-1] not in SPACE] if alone else segments
+        together = np.array(self.model.encode("".join(joined)), np.int64)
+        ends = np.cumsum(np.fromiter((len(s.encode("utf-8", "surrogatepass")) for s in joined), np.int64, len(joined)))
+        upto = np.searchsorted(np.cumsum(self.tokens.sizes[together]), ends) + 1
+        rest = [self.model.encode(segments[k]) for k in alone]
+        sizes, starts = (np.zeros(len(segments), np.int64) for _ in range(2))
+        most = np.ones(len(segments), bool)
+        most[alone] = False
+        sizes[most] = np.diff(upto, prepend=0)
+        sizes[alone] = [len(r) for r in rest]
+        starts[most] = upto - sizes[most]
+        starts[alone] = len(together) + np.cumsum(sizes[alone]) - sizes[alone]
+        return np.concatenate([together, np.fromiter(chain.from_iterable(rest), np.int64)]), starts, sizes
 
 
 class Pieces:
-    """The second tokenizer: sentencepiece on the text, before which it sets a blank itself."""
+    """The second tokenizer: sentencepiece, which sets a blank before each text itself."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -87,12 +104,16 @@ class Pieces:
             piece = m.id_to_piece(i)
             if m.is_byte(i):
                 return bytes([int(piece[3:5], 16)])
-            return b"" if m.is_control(i) or m.is_unknown(i) else piece.replace("▁", " ").encode()
+            return b"" if m.is_control(i) or m.is_unknown(i) else piece.replace(BLANK, " ").encode()
 
         self.tokens = Tokens([raw(i) for i in range(m.vocab_size())])
+        #: No piece has a blank after another sign, so none lies across the start of a run of blanks.
+        self.parts = not any(re.search(f"[^{BLANK}]{BLANK}", m.id_to_piece(i)) for i in range(m.vocab_size()))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids = self.model.encode([s[1:] for s in segments], num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes, sizes
 
 
 @lru_cache(2)
@@ -107,21 +128,77 @@ def _kind(n: int) -> str:
     return "<u2" if n <= 1 << 16 else "<u4"
 
 
+def segments(sentence: str) -> list[str]:
+    return SEGMENTS.split(sentence) if OTHERS.search(sentence) else PLAIN.findall(sentence)
+
+
+class Encoder:
+    """Both tokenizers' ids of texts, by segments: a run of blanks and what follows it, up to the next one.
+
+    Neither tokenizer has a token across the start of a blank run that other signs stand before and after, so a segment
+    has the same tokens in every text. Different ones are encoded once and remembered, up to a bound. A vocabulary with
+    pieces across such places is given whole texts.
+    """
+
+    def __init__(self, paths: tuple[str, str]):
+        self.both = tokenizers_of(*paths)
+        self.cut = segments if self.both[1].parts else lambda sentence: [sentence]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.letters = 0
+        self.fits = np.empty(0, bool)
+        self.ids, self.starts, self.sizes = ([np.empty(0, np.int64)] * 2 for _ in range(3))
+
+    def _learn(self, segments: list[str]) -> None:
+        raw = [s.encode("utf-8", "surrogatepass") for s in segments]
+        self.letters += sum(map(len, raw))
+        for k, tokenizer in enumerate(self.both):
+            ids, starts, sizes = tokenizer.encode(segments)
+            self.starts[k] = np.concatenate([self.starts[k], len(self.ids[k]) + starts])
+            self.sizes[k] = np.concatenate([self.sizes[k], sizes])
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+        # The first tokenizer gives all bytes back.
+        ends = np.concatenate([[0], np.cumsum(tokenizer.tokens.sizes[ids])])
+        whole, low, high = tokenizer.tokens.joined(ids), ends[starts].tolist(), ends[starts + sizes].tolist()
+        self.fits = np.concatenate([self.fits, np.array([whole[s:e] == r for s, e, r in zip(low, high, raw, strict=True)], bool)])
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By tokenizer the ids of all texts and how many each has; a text whose bytes would not come back has none."""
+        if len(self.known) > KNOWN or self.letters > KNOWN_BYTES:
+            self._forget()
+        number, had = self.known.__getitem__, len(self.known)
+        used = [np.array(list(map(number, self.cut(" " + t))) if t else [], np.int64) for t in texts]
+        self._learn(list(islice(self.known, had, None)))
+        used = [x if self.fits[x].all() else x[:0] for x in used]
+        numbers = np.concatenate([np.empty(0, np.int64), *used])
+        upto = np.cumsum([0, *map(len, used)])
+        out = []
+        for ids, starts, sizes in zip(self.ids, self.starts, self.sizes, strict=True):
+            ends = np.concatenate([[0], np.cumsum(sizes[numbers])])[upto]
+            out.append((ids[spread(starts, sizes, numbers)], np.diff(ends)))
+        return out
+
+
+def _kind(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """(doc_id, a, b): both tokenizers' ids of each text (doc_id, text), none where the tokens' bytes are not the text's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokenizers_of(*paths)
+        encoder = Encoder(paths)
         for batch in slices(batches, "text", TEXT_BYTES):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [[np.array(x, np.int64) for x in t.encode(texts)] for t in both]
-            out: list[list[bytes]] = [[], []]
-            for text, a, b in zip(texts, *ids, strict=True):
-                want = b" " + text.encode("utf-8", "surrogatepass")
-                fits = bool(text) and both[0].tokens.joined(a) == want and both[1].tokens.joined(b) == want
-                for k, x in enumerate((a, b)):
-                    out[k].append(x.astype(_kind(len(both[k].tokens.sizes))).tobytes() if fits else b"")
-            yield pa.record_batch([batch.column("doc_id"), *(pa.array(x, pa.binary()) for x in out)], names=["doc_id", "a", "b"])
+            columns = []
+            for tokenizer, (ids, counts) in zip(encoder.both, encoder.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                kind = _kind(len(tokenizer.tokens.sizes))
+                raw, ends = ids.astype(kind).tobytes(), np.cumsum(counts) * int(kind[2])
+                sizes = counts * int(kind[2])
+                columns.append(pa.array([raw[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary()))
+            yield pa.record_batch([batch.column("doc_id"), *columns], names=["doc_id", "a", "b"])
 
     return docs.mapInArrow(run, "doc_id long, a binary, b binary")
 
@@ -248,11 +325,23 @@ def _together(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return all_keys[first], np.add.reduceat(all_counts[order], first) if len(first) else all_counts
 
 
+def _different(parts: list[np.ndarray]) -> np.ndarray:
+    """The different ones among some arrays of numbers from 0 on, in order."""
+    if len(parts) == 1:
+        every = np.sort(parts[0])
+    else:
+        every = np.concatenate([np.empty(0, np.int64), *parts])
+        every.sort()
+    return every[np.diff(every, prepend=-1) != 0]
+
+
 def _documents(aligned: Aligned) -> tuple[np.ndarray, np.ndarray]:
     """The different pairs of a chunk and how many of its documents hold each."""
-    held = [np.unique(doc << 2 * BITS | key) for doc, key, _ in aligned.pairs()]
-    both = np.unique(np.concatenate(held)) if len(held) > 1 else np.concatenate([np.empty(0, np.int64), *held])
-    return np.unique(both & (1 << 2 * BITS) - 1, return_counts=True)
+    both = _different([_different([doc << 2 * BITS | key]) for doc, key, _ in aligned.pairs()])
+    keys = both & (1 << 2 * BITS) - 1
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.diff(first, append=len(keys))
 
 
 def _counted(batches: Iterator[pa.RecordBatch], paths: tuple[str, str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -514,7 +603,7 @@ class Alignment:
             numbers = _numbers(max(len(t.tokens.sizes) for t in both))
             for batch, aligned in _chunks(batches, paths):
                 n_groups, n_links = aligned.counts()
-                keys = _different(aligned)
+                keys = _different([_different([key]) for _, key, _ in aligned.pairs()])
                 counts = np.zeros(len(keys), np.int64)
                 for hashes in known.tables():
                     number = hashes.find(keys)
@@ -534,11 +623,6 @@ class Alignment:
         return self.ids.mapInArrow(run, schema)
 
 
-def _different(aligned: Aligned) -> np.ndarray:
-    held = [np.unique(key) for _, key, _ in aligned.pairs()]
-    return np.unique(np.concatenate([np.empty(0, np.int64), *held]))
-
-
 def align(docs: DataFrame, paths: tuple[str, str] | None = None, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row a document: how its tokens under two vocabularies lie to each other, and what that says corpus-wide.
 

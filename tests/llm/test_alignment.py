@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -82,6 +83,19 @@ def test_small_table(spark):
     assert rows_of(alignment.align(data.table(spark, "documents"))) == expected(data.pairs(spark))[0]
 
 
+def test_segments_are_encoded_as_in_their_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "KNOWN", 40)
+    rng = random.Random(4)
+    parts = ["a", "the", " ", "  ", "\n", "\t", "\x85", "\u3000", "1", "é", "<s>", "<0x41>", "▁", "ing", "!", "日", "🙂", "\x00", "'s"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)]
+    encoder, (a_model, b_model) = alignment.Encoder(alignment.vocabularies()), models()
+    assert encoder.both[1].parts
+    for k in range(0, len(texts), 50):
+        found = [np.split(ids, np.cumsum(n)[:-1]) for ids, n in encoder.encode(texts[k : k + 50])]
+        for text, a, b in zip(texts[k : k + 50], *found, strict=True):
+            assert (a.tolist(), b.tolist()) == (groups_of(text, a_model, b_model) or ([], []))[:2]
+
+
 def test_nothing(spark):
     assert alignment.align(data.documents(spark, [])).count() == 0
     assert rows_of(alignment.align(data.documents(spark, [(1, None), (1, ""), (None, "▁")]))) == [
