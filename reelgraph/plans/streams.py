@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelgraph.functions.text import expand_queries
+from reelgraph.operators.progress import fold_averages
 from reelgraph.plans import people
 from reelgraph.plans.catalog import query
 from reelgraph.plans.columns import _PROMPT_SQL, part_queries
@@ -109,6 +110,19 @@ def _(t):
     return _throughput(t)
 
 
+@query("folded_throughput", "I4 E12", _RATES + " SELECT job, round(rate, 6) AS rate, n FROM a")
+def _(t):
+    # Without a stream: the state after the earlier half of the events, and the later half folded into it.
+    rows = t.read("events").select(
+        F.col("user_id").alias("job"), F.col("event_id").alias("seq"), F.lit(1).cast("long").alias("items"), F.col("value").alias("seconds")
+    )
+    (edge,) = rows.approxQuantile("seq", [0.5], 0.0)
+    state = t.spark.createDataFrame([], f"job {dict(rows.dtypes)['job']}, rate double, n long")
+    for half in (F.col("seq") <= edge, F.col("seq") > edge):
+        state = fold_averages(state, rows.filter(half), "job")
+    return state.select("job", F.round("rate", 6).alias("rate"), "n")
+
+
 @query("drained_queue", "I3", """
     SELECT doc_id, lang, (SELECT count(*) FROM documents) AS handled, (SELECT count(DISTINCT lang) FROM documents) AS langs FROM documents""")
 def _(t):
