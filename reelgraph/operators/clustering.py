@@ -236,9 +236,9 @@ def nearest_partner(
     broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Per row (``_id``) the most similar partner (``_p``) as (id, partner, sim), ties to the smallest partner."""
-    parts = K.join_scores(
-        partners, rows, K.best_one(mode), "id long, partner long, sim double", small_keys=["_p"], large_keys=["_id"],
-        vec=vec, normalise=normalise, broadcast_bytes=broadcast_bytes,
+    parts = K.fold_scores(
+        rows, partners, K.BestOne(mode), "id long, partner long, sim double", held_keys=["_id"], passed_keys=["_p"],
+        send="passed", vec=vec, normalise=normalise, broadcast_bytes=broadcast_bytes,
     )
     best = F.max(F.struct("sim", (-F.col("partner")).alias("back"))).alias("b")
     return parts.groupBy("id").agg(best).select("id", (-F.col("b.back")).alias("partner"), F.col("b.sim").alias("sim"))
@@ -311,6 +311,9 @@ def average_linkage(
     so a cluster is a (sum, count) row. Average linkage is reducible: merging all reciprocal nearest neighbours of a
     round gives the same tree as one merge at a time (Murtagh, 1983), and a cluster whose best partner is not above
     the threshold never gets one and leaves the work.
+
+    For the same reason a merger never comes closer to a cluster than the nearer of its two parts was. So a nearest partner
+    is kept until it or the cluster itself merges, and only the others are searched again.
     """
     unit = df.select(F.col(id_col).cast("long").alias("_id"), l2_normalize(vec).alias("_v"))
     same = unit.select(F.col("_id").alias(id_col), F.col("_id").alias("merged"))
@@ -329,17 +332,22 @@ def average_linkage(
         F.col("_id").alias(id_col), F.coalesce("_keep", "_id").alias("merged")
     )
     mapping, waiting = cut(same), []
+    near, stale = None, None  # the nearest partners that still hold, and the clusters to search again; None: all
     while True:  # each round merges at least the closest pair
         means = active.select("_id", F.transform("_v", lambda x: x / F.col("_n")).alias("_v"))
-        near = nearest_partner(
-            means.withColumnRenamed("_id", "_p"), means, "other", vec="_v", normalise=False,
-            broadcast_bytes=broadcast_bytes,
+        found = nearest_partner(
+            means.withColumnRenamed("_id", "_p"), means if stale is None else means.join(stale, "_id", "left_semi"), "other",
+            vec="_v", normalise=False, broadcast_bytes=broadcast_bytes,
         )
-        near = cut(near.filter(F.col("sim") > threshold).select("id", "partner"))
+        found = found.filter(F.col("sim") > threshold).select("id", "partner")
+        near = cut(found if stale is None else near.unionByName(found))
         back = near.select(F.col("id").alias("partner"), F.col("partner").alias("id"))
         merges = cut(near.join(back, ["id", "partner"]).filter("id < partner").toDF("keep", "gone"))
         if merges.isEmpty():
-            return _follow(mapping, waiting, id_col)
+            if stale is None or near.isEmpty():
+                return _follow(mapping, waiting, id_col)
+            stale = None  # rounding alone can leave no mutual pair among kept partners
+            continue
         gone = active.select(F.col("_id").alias("gone"), F.col("_v").alias("_w"), F.col("_n").alias("_m"))
         grown = (
             active.join(near.select(F.col("id").alias("_id")), "_id", "left_semi")
@@ -353,6 +361,10 @@ def average_linkage(
                 (F.col("_n") + F.coalesce("_m", F.lit(0.0))).alias("_n"),
             )
         )
+        changed = merges.select(F.col("keep").alias("_id")).unionByName(merges.select(F.col("gone").alias("_id")))
+        lost = near.join(changed.withColumnRenamed("_id", "partner"), "partner", "left_semi").select(F.col("id").alias("_id"))
+        stale = cut(lost.unionByName(changed).distinct())
+        near = near.join(stale.withColumnRenamed("_id", "id"), "id", "left_anti")
         waiting.append(merges)
         if len(waiting) == 8:
             mapping, waiting = cut(_follow(mapping, waiting, id_col)), []

@@ -12,6 +12,9 @@ over a threshold, or partial sums. Two layouts:
   reads the half of the others that follow it in a circle, which visits each unordered pair once and gives all tasks
   the same work.
 
+``fold_scores`` keeps the best k, the best one or a count as state of a resident block of rows while the other side passes
+by, and emits it once; ``join_scores`` is for results that cannot be merged before they leave.
+
 Results leave a task tile by tile. Scores are rounded to 12 digits before they are compared, so that exact copies tie
 wherever they are stored; ties go to the smallest id.
 """
@@ -34,6 +37,7 @@ from reelgraph.session import checkpoint_dir
 
 BROADCAST_BYTES = 64 << 20
 BLOCK_BYTES = 32 << 20
+HELD_BYTES = 128 << 20  # rows and their state that a task holds while parts pass by
 TILE_CELLS = 1 << 22
 
 Block = tuple[np.ndarray, np.ndarray]  # ids (or payload columns), unit vectors as rows
@@ -98,25 +102,26 @@ def join_scores(
     normalise: bool = True,
     broadcast_bytes: int | None = None,
     part_rows: int | None = None,
+    cut_blocks: Callable | None = None,
 ) -> DataFrame:
     """Run ``kernel(small_block, large_block)``, which yields dicts of columns, over all pairs of the two tables.
 
     ``small`` is broadcast when its measured size allows, else its parts are read past the blocks of ``large``. The
     kernel sees each (small row, large row) pair exactly once, but spread over several calls, so its output must be
-    mergeable.
+    mergeable. ``cut_blocks(batches, bytes)`` cuts the large side where the kernel needs it.
     """
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     small = small.select(*small_keys, vec)
     large = large.select(*large_keys, vec)
     n_small, width = shape(small, vec)
-    fields, block_bytes = pa_schema(schema), BLOCK_BYTES
+    fields, block_bytes, in_blocks = pa_schema(schema), BLOCK_BYTES, cut_blocks or blocks
 
     if n_small * width * 8 <= limit:
         held = large.sparkSession.sparkContext.broadcast(read_block(small.toArrow(), small_keys, vec, normalise))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = held.value
-            for block in blocks(batches, block_bytes) if len(left[1]) else ():
+            for block in in_blocks(batches, block_bytes) if len(left[1]) else ():
                 yield from emit(kernel(left, read_block(block, large_keys, vec, normalise)), fields)
 
         return large.mapInArrow(scan, schema)
@@ -125,7 +130,7 @@ def join_scores(
     folder = parts_of(small, n_parts, small_keys[0])
 
     def scan_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, block_bytes):
+        for block in in_blocks(batches, block_bytes):
             right = read_block(block, large_keys, vec, normalise)
             for k in range(n_parts):
                 left = read_part(folder, k, [*small_keys, vec])
@@ -135,6 +140,74 @@ def join_scores(
     return large.mapInArrow(scan_parts, schema)
 
 
+def fold_scores(
+    held: DataFrame,
+    passed: DataFrame,
+    fold,
+    schema: str,
+    *,
+    held_keys: list[str],
+    passed_keys: list[str],
+    send: str,
+    vec: str = "embedding",
+    normalise: bool = True,
+    broadcast_bytes: int | None = None,
+    part_rows: int | None = None,
+) -> DataFrame:
+    """The state of every ``held`` row after every ``passed`` row, emitted once by the task that holds it.
+
+    ``fold.start(block)`` makes the state of a block of held rows, ``fold.add(state, block)`` takes in passed rows, and
+    ``fold.rows(state)`` yields the columns that leave; ``fold.state_bytes`` is its size per held row. ``send`` names the
+    side that is sent to every task when it is small. If that is the held side, each task folds its own passed rows and
+    the states of the tasks are left to merge; otherwise a row's state is whole. When the side is not small, the
+    passed rows are written in parts and read past blocks of held rows, so no state leaves before all parts have passed.
+    """
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    held, passed = held.select(*held_keys, vec), passed.select(*passed_keys, vec)
+    spark, fields, block_bytes = held.sparkSession, pa_schema(schema), BLOCK_BYTES
+    if send == "held":
+        n, width = shape(held, vec)
+        if n * (8 * width + fold.state_bytes) <= limit:
+            asked = spark.sparkContext.broadcast(read_block(held.toArrow(), held_keys, vec, normalise))
+
+            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                state = fold.start(asked.value)
+                for block in blocks(batches, block_bytes) if len(asked.value[1]) else ():
+                    fold.add(state, read_block(block, passed_keys, vec, normalise))
+                yield from emit(fold.rows(state), fields)
+
+            return passed.mapInArrow(scan, schema)
+        n, part_width = shape(passed, vec)
+    else:
+        n, width = shape(passed, vec)
+        part_width = width
+    most = max(1, HELD_BYTES * 8 * width // (8 * width + fold.state_bytes))
+    if send == "passed" and n * width * 8 <= limit:
+        sent = spark.sparkContext.broadcast(read_block(passed.toArrow(), passed_keys, vec, normalise))
+
+        def parts() -> Iterator[Block]:
+            if len(sent.value[1]):
+                yield sent.value
+    else:
+        n_parts = max(1, math.ceil(n / (part_rows or rows_per_block(part_width))))
+        folder = parts_of(passed, n_parts, passed_keys[0])
+
+        def parts() -> Iterator[Block]:
+            for k in range(n_parts):
+                table = read_part(folder, k, [*passed_keys, vec])
+                if table is not None and table.num_rows:
+                    yield read_block(table, passed_keys, vec, normalise)
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, most):
+            state = fold.start(read_block(block, held_keys, vec, normalise))
+            for part in parts():
+                fold.add(state, part)
+            yield from emit(fold.rows(state), fields)
+
+    return held.mapInArrow(hold, schema)
+
+
 def parts_of(df: DataFrame, n: int, key: str) -> str:
     """A folder in the shared place with ``df`` in ``n`` parts by hash of ``key``."""
     folder = f"{checkpoint_dir(df.sparkSession)}/vectors-{uuid.uuid4()}"
@@ -283,16 +356,30 @@ def emit(parts: Iterator[dict], fields: pa.Schema) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- kernels
 
 
-def best_k(k: int):
-    """Per query (small side) the k best rows of the block, ties by smallest id."""
-
-    def kernel(queries, rows):
-        (qcols, qmat), (rcols, rmat) = queries, rows
-        order = np.argsort(rcols["_id"], kind="stable")
-        ids, rmat = rcols["_id"][order], rmat[order]
-        take = min(k, len(ids))
-        for part in tiles(len(qmat), len(ids)):
-            s = similarities(qmat[part], rmat)
+class BestK:
+    """Per query (held) the k best rows, ties by smallest id; a score that is not a number counts as the lowest."""
+
+    def __init__(self, k: int):
+        self.k, self.state_bytes = k, 16 * k
+
+    def start(self, queries: Block) -> dict:
+        cols, rows = queries
+        return {
+            "_q": cols["_q"], "rows": rows, "ids": np.full((len(rows), self.k), np.iinfo(np.int64).max),
+            "scores": np.full((len(rows), self.k), -np.inf),
+        }
+
+    def add(self, state: dict, block: Block) -> None:
+        ids, rows = block[0]["_id"], block[1]
+        order = np.argsort(ids, kind="stable")
+        ids, rows, take = ids[order], rows[order], min(self.k, len(ids))
+        for part in tiles(len(state["rows"]), len(ids)):
+            s = similarities(state["rows"][part], rows)
+            s[np.isnan(s)] = -np.inf
+            open_ = np.flatnonzero(s.max(axis=1) >= state["scores"][part][:, -1]) if take else ()
+            if not len(open_):
+                continue
+            s, at = s[open_], part.start + open_
             if take == len(ids):
                 pick = np.tile(np.arange(take), (len(s), 1))
             else:
@@ -300,35 +387,51 @@ def best_k(k: int):
                 floor = np.take_along_axis(s, pick, axis=1).min(axis=1)
                 for i in np.flatnonzero((s >= floor[:, None]).sum(axis=1) > take):
                     pick[i] = np.argsort(-s[i], kind="stable")[:take]
-            yield {
-                "query_id": np.repeat(qcols["_q"][part], take),
-                "id": ids[pick].ravel(),
-                "score": np.take_along_axis(s, pick, axis=1).ravel(),
-            }
-
-    return kernel
-
-
-def best_one(mode: str = "any"):
-    """Per row of the large side its best partner; ``mode`` limits partners: any, earlier (id) or other (id)."""
-
-    def kernel(partners, rows):
-        (pcols, pmat), (rcols, rmat) = partners, rows
-        order = np.argsort(pcols["_p"], kind="stable")
-        pids, pmat = pcols["_p"][order], pmat[order]
-        for part in tiles(len(rmat), len(pids)):
-            ids = rcols["_id"][part]
-            s = similarities(rmat[part], pmat)
-            if mode == "earlier":
+            both_ids = np.concatenate([state["ids"][at], ids[pick]], axis=1)
+            both = np.concatenate([state["scores"][at], np.take_along_axis(s, pick, axis=1)], axis=1)
+            best = np.lexsort((both_ids, -both), axis=1)[:, : self.k]
+            state["ids"][at] = np.take_along_axis(both_ids, best, axis=1)
+            state["scores"][at] = np.take_along_axis(both, best, axis=1)
+
+    def rows(self, state: dict) -> Iterator[dict]:
+        for part in tiles(len(state["ids"]), self.k):
+            i, j = np.nonzero(state["scores"][part] > -np.inf)
+            yield {"query_id": state["_q"][part][i], "id": state["ids"][part][i, j], "score": state["scores"][part][i, j]}
+
+
+class BestOne:
+    """Per held row its best partner, ties to the smallest; ``mode`` limits partners: any, earlier (id) or other (id)."""
+
+    state_bytes = 16
+
+    def __init__(self, mode: str = "any"):
+        self.mode = mode
+
+    def start(self, rows: Block) -> dict:
+        n = len(rows[1])
+        return {"_id": rows[0]["_id"], "rows": rows[1], "top": np.full(n, -np.inf), "partner": np.zeros(n, np.int64)}
+
+    def add(self, state: dict, partners: Block) -> None:
+        order = np.argsort(partners[0]["_p"], kind="stable")
+        pids, pmat = partners[0]["_p"][order], partners[1][order]
+        for part in tiles(len(state["rows"]), len(pids)):
+            ids = state["_id"][part]
+            s = similarities(state["rows"][part], pmat)
+            s[np.isnan(s)] = -np.inf
+            if self.mode == "earlier":
                 s[pids[None, :] >= ids[:, None]] = -np.inf
-            elif mode == "other":
+            elif self.mode == "other":
                 s[pids[None, :] == ids[:, None]] = -np.inf
             j = s.argmax(axis=1)
-            top = s[np.arange(len(ids)), j]
-            ok = np.isfinite(top)
-            yield {"id": ids[ok], "partner": pids[j][ok], "sim": top[ok]}
+            top, found = s[np.arange(len(ids)), j], pids[j]
+            old, partner = state["top"][part], state["partner"][part]
+            better = (top > old) | ((top == old) & (found < partner))
+            state["top"][part] = np.where(better, top, old)
+            state["partner"][part] = np.where(better, found, partner)
 
-    return kernel
+    def rows(self, state: dict) -> Iterator[dict]:
+        ok = np.isfinite(state["top"])
+        yield {"id": state["_id"][ok], "partner": state["partner"][ok], "sim": state["top"][ok]}
 
 
 def earlier_in_reach(threshold: float, strict: bool = False):
@@ -401,8 +504,52 @@ def hook(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
             root = jumped
 
 
-def pooled_parts(tau: float):
-    """Per (query, video) the maximum, the shifted exponential sum and the count of frame similarities."""
+def group_blocks(group: str, piece: str):
+    """Cuts rows sorted by ``group`` into blocks at the ends of groups.
+
+    A group beyond a block is passed on in pieces, whose ``piece`` is set to 1; 0 says that the block has all of the group.
+    """
+
+    def cut_blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+        held, size, open_ = [], 0, None  # open_: the group that was cut
+
+        def out(table: pa.Table) -> pa.Table:
+            if open_ is None:
+                return table
+            cut = pc.or_(pc.equal(table.column(group), open_), pc.greater(table.column(piece), 0))
+            at = table.schema.get_field_index(piece)
+            return table.set_column(at, piece, pc.cast(cut, pa.int64()))
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size < most:
+                continue
+            table = pa.Table.from_batches(held)
+            last = table.column(group)[-1]
+            start = pc.index(table.column(group), last).as_py()
+            if start == 0:  # one group only
+                open_ = last
+                yield out(table)
+                held, size = [], 0
+            else:
+                yield out(table.slice(0, start))
+                rest = table.slice(start)
+                held, size = rest.to_batches(), rest.nbytes
+        if held:
+            yield out(pa.Table.from_batches(held))
+
+    return cut_blocks
+
+
+def pooled_parts(tau: float, at_least: float | None = None, relative: float = 0.0, few: int = 0):
+    """Per (query, video) the maximum, the shifted exponential sum and the count of frame similarities.
+
+    With ``at_least`` a video whose frames are all in the block (``_piece`` 0) is scored there. It does not leave when it
+    is below that bound, or below both ``relative`` times the block's best and the block's ``few`` best: the bests of the
+    whole table can only be higher. Bounds are lowered a little, so that rounding decides nothing here.
+    """
 
     def kernel(queries, frames):
         (qcols, qmat), (fcols, fmat) = queries, frames
@@ -410,17 +557,21 @@ def pooled_parts(tau: float):
         videos, starts = np.unique(fcols["_video"][order], return_index=True)
         counts = np.diff(np.append(starts, len(order)))
         fmat = fmat[order]
+        whole_ = fcols["_piece"][order][starts] == 0 if at_least is not None else None
         for part in tiles(len(qmat), len(fmat)):
             s = similarities(qmat[part], fmat)
             top = np.maximum.reduceat(s, starts, axis=1)
             e = np.add.reduceat(np.exp((s - np.repeat(top, counts, axis=1)) / tau), starts, axis=1)
-            n_q = len(s)
+            keep = np.ones(top.shape, bool)
+            if at_least is not None and whole_.any():
+                score = (tau * np.log(e / counts) + top)[:, whole_]
+                floor = np.full(len(score), -np.inf)
+                if score.shape[1] >= few:
+                    floor = np.minimum(relative * score.max(axis=1), -np.partition(-score, few - 1, axis=1)[:, few - 1])
+                keep[:, whole_] = score >= np.maximum(at_least, floor)[:, None] - 1e-9
+            i, j = np.nonzero(keep)
             yield {
-                "query_id": np.repeat(qcols["_q"][part], len(videos)),
-                "video_id": np.tile(videos, n_q),
-                "top": top.ravel(),
-                "mass": e.ravel(),
-                "n": np.tile(counts, n_q),
+                "query_id": qcols["_q"][part][i], "video_id": videos[j], "top": top[i, j], "mass": e[i, j], "n": counts[j],
             }
 
     return kernel
@@ -490,19 +641,25 @@ def score_moments(threshold: float):
     return kernel
 
 
-def ahead_of_target():
-    """Per query how many rows of the block beat its target; a query row is its vector followed by the target's."""
+class AheadOfTarget:
+    """Per query (held) how many rows beat its target; a query row is its vector followed by the target's."""
 
-    def kernel(queries, rows):
-        (qcols, both), (rcols, rmat) = queries, rows
+    state_bytes = 8
+
+    def start(self, queries: Block) -> dict:
+        cols, both = queries
         width = both.shape[1] // 2
-        qmat, goal, rmat = unit(both[:, :width]), unit(both[:, width:]), unit(rmat)
-        own = np.round(np.einsum("ij,ij->i", qmat, goal), 12)
-        ids = rcols["_id"]
-        for part in tiles(len(qmat), len(rmat)):
-            s = similarities(qmat[part], rmat)
-            mine, target = own[part][:, None], qcols["_t"][part][:, None]
+        rows, goal = unit(both[:, :width]), unit(both[:, width:])
+        own = np.round(np.einsum("ij,ij->i", rows, goal), 12)
+        return {**cols, "rows": rows, "own": own, "ahead": np.zeros(len(rows), np.int64)}
+
+    def add(self, state: dict, block: Block) -> None:
+        ids, rows = block[0]["_id"], unit(block[1])
+        for part in tiles(len(state["rows"]), len(rows)):
+            s = similarities(state["rows"][part], rows)
+            mine, target = state["own"][part][:, None], state["_t"][part][:, None]
             ahead = (ids[None, :] != target) & ((s > mine) | ((s == mine) & (ids[None, :] < target)))
-            yield {"query_id": qcols["_q"][part], "ahead": ahead.sum(axis=1)}
+            state["ahead"][part] += ahead.sum(axis=1)
 
-    return kernel
+    def rows(self, state: dict) -> Iterator[dict]:
+        yield {"query_id": state["_q"], "ahead": state["ahead"]}

@@ -20,6 +20,9 @@ TOP_TAGS = 14
 MAX_EXPORT = 25
 COLUMNS = 5
 
+PAGE_ROWS = 10_000  # a page that ends before is cut from the first rows in order
+RANGES = 64  # ranges in which rows are counted for a page further in
+
 
 def first_per_key(df: DataFrame, key: Column | str, *order: Column | str) -> DataFrame:
     """First row of each non-empty key in ``order``.
@@ -101,14 +104,38 @@ def grid_rows(media: DataFrame, columns: int = COLUMNS, *, date: str = "date", o
 def page(df: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
     """One page of an ordered list (end the order on a unique key); the total is a separate ``count``.
 
-    Only the order columns are placed, over range partitions; the rows of the page are then joined to them. So a page
-    far into the list costs what the first one does, and no task gets all that comes before it.
+    A page that ends within ``PAGE_ROWS`` rows is a top-k. For one further in, rows are counted in ranges of the order and
+    only the ranges that hold the page are looked at, again until it begins early in them: nothing is sorted as a whole.
+    """
+    rows, skip = df, offset
+    while skip + limit > PAGE_ROWS:
+        nearer = _ranges_of_page(rows, skip, limit, order)
+        if nearer is None:
+            break
+        rows, skip = nearer
+    return rows.orderBy(*order).offset(skip).limit(limit)
+
+
+def _ranges_of_page(rows: DataFrame, skip: int, limit: int, order: tuple[str, ...]) -> tuple[DataFrame, int] | None:
+    """Rows of the ranges that hold the page and what is left to skip in them; None where that is over half of all.
+
+    The borders are the keys of least hash: few, spread as the keys are, and the same whenever they are drawn.
     """
-    places = with_row_number(df.select(*order), *order, name="_rn")
-    chosen = places.filter(F.col("_rn").between(offset + 1, offset + limit)).drop("_rn")
-    named = chosen.toDF(*(f"_o{k}" for k in range(len(order))))
-    same = [df[c].eqNullSafe(named[f"_o{k}"]) for k, c in enumerate(order)]
-    return df.join(named, same, "left_semi").orderBy(*order)
+    drawn = rows.select(*order).orderBy(F.xxhash64(*order)).limit(RANGES).toArrow()
+    if drawn.num_rows == 0:
+        return None
+    borders = rows.sparkSession.createDataFrame(drawn).agg(F.array_sort(F.collect_list(F.struct(*order)))).scalar()
+    ranged = rows.withColumn("__range", F.size(F.filter(borders, lambda b: b < F.struct(*order))))
+    counts = dict(ranged.groupBy("__range").count().collect())  # at most one row a border
+    start, kept, before = 0, [], 0
+    for place, n in sorted(counts.items()):
+        if start + n > skip and start < skip + limit:
+            before = before if kept else start
+            kept.append(place)
+        start += n
+    if 2 * sum(counts[k] for k in kept) > start:
+        return None
+    return ranged.filter(F.col("__range").isin(kept)).drop("__range"), max(0, skip - before)
 
 
 def nth_by_id(df: DataFrame, n: int, id_col: str = "id") -> DataFrame:

@@ -104,3 +104,18 @@ def test_two_stages_equal_sequential(spark, seed):
     want = [merged[ids.index(x)] for x in lead]
     got = C.two_stage_clusters(D.frame(spark, rows), min_cluster_size=1, threshold=0.7, merge_threshold=0.4)
     assert D.same_partition(labels(got, "label"), want)
+
+
+def test_linkage_searches_only_what_changed(spark, monkeypatch):
+    rows = D.clustered(11, 60)
+    searched, search = [], C.nearest_partner
+
+    def counted(partners, rows, *args, **options):
+        searched.append((rows.count(), partners.count()))
+        return search(partners, rows, *args, **options)
+
+    monkeypatch.setattr(C, "nearest_partner", counted)
+    got = {r.seq: r.merged for r in C.average_linkage(D.frame(spark, rows), 0.3, id_col="seq").collect()}
+    assert len(set(got.values())) < len(rows)
+    assert len(searched) > 2 and searched[0][0] == searched[0][1]
+    assert all(n <= p for n, p in searched[1:]) and sum(n for n, _ in searched[1:]) < sum(p for _, p in searched[1:])

@@ -255,3 +255,20 @@ def test_core_plans(spark):
     assert "WindowGroupLimit" in plan
     below = plan.split("MapInArrow")[1]
     assert "Exchange" not in below and "label" not in below.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("order", [("name", "id"), ("turn", "id"), ("same", "id")])
+def test_pages_far_into_a_list(spark, monkeypatch, order):
+    monkeypatch.setattr(L, "PAGE_ROWS", 20)
+    monkeypatch.setattr(L, "RANGES", 8)
+    df = spark.range(400).select(
+        "id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("n"), F.col("id") % 31)).alias("name"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (-F.col("id") % 50).cast("int")).alias("turn"), F.lit(1).alias("same"),
+    ).repartition(5)
+    want = [r.id for r in df.orderBy(*order).collect()]
+    for offset, limit in ((0, 5), (100, 7), (255, 40), (396, 10), (400, 3), (900, 3), (0, 400)):
+        assert [r.id for r in L.page(df, offset, limit, *order).collect()] == want[offset: offset + limit]
+    far = L.page(df, 300, 5, *order)
+    plan = far._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "rangepartitioning" not in plan and far.columns == df.columns
+    assert L.page(df.filter("id < 0"), 100, 5, *order).count() == 0

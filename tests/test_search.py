@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from reelgraph.functions import vectors as V
 from reelgraph.operators import labeling as L
@@ -167,3 +168,55 @@ def test_large_vocabulary_gives_the_same_labels(spark):
     df = D.frame(spark, items).withColumnRenamed("seq", "id")
     sent = {r.item_id: r.label for r in L.classify(df, labels, feedback).collect()}
     assert {r.item_id: r.label for r in L.classify(df, labels, feedback, vocabulary_bytes=10).collect()} == sent
+
+
+def test_state_leaves_once(spark):
+    from reelgraph.operators import kernels as K
+
+    rows = D.clustered(5, 150, copies=30)
+    held = D.frame(spark, rows).repartition(3)
+    q = held.select(F.col("seq").alias("_q"), "embedding")
+    v = D.frame(spark, rows).select(F.col("seq").alias("_id"), "embedding")
+    best = K.fold_scores(
+        q, v, K.BestK(6), "query_id long, id long, score double", held_keys=["_q"], passed_keys=["_id"], send="held",
+        broadcast_bytes=0, part_rows=20,
+    )
+    n = len(rows)
+    assert best.count() == 6 * n and best.select("query_id", "id").distinct().count() == 6 * n
+    one = K.fold_scores(
+        held.select(F.col("seq").alias("_id"), "embedding"), v.withColumnRenamed("_id", "_p"), K.BestOne("other"),
+        "id long, partner long, sim double", held_keys=["_id"], passed_keys=["_p"], send="passed", broadcast_bytes=0,
+        part_rows=20,
+    )
+    s = np.round(D.unit(rows) @ D.unit(rows).T, 12)
+    np.fill_diagonal(s, -2)
+    assert {r.id: r.partner for r in one.collect()} == dict(enumerate(s.argmax(axis=1)))
+    assert one.count() == n
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("block", [1 << 10, 1 << 25])
+def test_video_search_drops_only_what_the_cutoff_drops(spark, monkeypatch, limit, block):
+    from reelgraph.operators import kernels as K
+
+    monkeypatch.setattr(K, "BLOCK_BYTES", block)
+    monkeypatch.setattr(K, "rows_per_block", lambda width: 4)
+    monkeypatch.setattr(S, "VIDEO_FRAMES", 30)
+    rng = np.random.default_rng(8)
+    rows = D.clustered(8, 600)
+    videos = np.minimum(rng.integers(0, 90, len(rows)), 60)  # the last one has a third of all frames
+    frames = D.frame(spark, rows)
+    place = spark.createDataFrame([(i, int(v)) for i, v in enumerate(videos)], "seq long, video_id long")
+    frames = frames.join(place, "seq").select("video_id", "embedding")
+    frames = frames.unionByName(frames.limit(3).withColumn("video_id", F.lit(None).cast("long")))
+    known = frames.filter("video_id is not null")
+    q = D.frame(spark, rows[:12]).withColumnRenamed("seq", "query_id")
+
+    def kept(df):
+        return {(r.query_id, r.id): (r["rank"], round(r.score, 9)) for r in df.collect()}
+
+    every = S.smooth_max_scores(q, known)
+    assert kept(S.video_search(q, frames, broadcast_bytes=limit)) == kept(S.cutoff(every))
+    left = S.smooth_max_scores(q, frames, broadcast_bytes=limit, at_least=S.MIN_SCORE)
+    assert left.count() < every.count() == 12 * 61
+    assert S.video_search(q, frames.filter("video_id < 0"), broadcast_bytes=limit).count() == 0
