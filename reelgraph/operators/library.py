@@ -125,7 +125,8 @@ def _ranges_of_page(rows: DataFrame, skip: int, limit: int, order: tuple[str, ..
     if drawn.num_rows == 0:
         return None
     borders = rows.sparkSession.createDataFrame(drawn).agg(F.array_sort(F.collect_list(F.struct(*order)))).scalar()
-    ranged = rows.withColumn("__range", F.size(F.filter(borders, lambda b: b < F.struct(*order))))
+    below = [(F.element_at(borders, k + 1) < F.struct(*order)).cast("int") for k in range(drawn.num_rows)]
+    ranged = rows.withColumn("__range", sum(below[1:], below[0]))
     counts = dict(ranged.groupBy("__range").count().collect())  # at most one row a border
     start, kept, before = 0, [], 0
     for place, n in sorted(counts.items()):
