@@ -107,7 +107,7 @@ def test_two_stages_equal_sequential(spark, seed):
 
 
 def test_linkage_searches_only_what_changed(spark, monkeypatch):
-    rows = D.clustered(11, 60)
+    rows = D.clustered(11, 24)
     searched, search = [], C.nearest_partner
 
     def counted(partners, rows, *args, **options):
