@@ -8,80 +8,56 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GATE = "licen"  # every rule needs it, so texts without it are not looked at
+from reelgraph.llm.signatures import PRIORITY, ROOTS, SIGNATURES as OWN, root_of
 
-#: A label, a keyword that each of the names holds, and names that its licences go by, as words in lower
-#: case. Names with no keyword in common have entries of their own under one label.
+GATE = "licen"  # every rule made of a name needs it
+
+#: A label, a keyword that each of the names holds at the start of a word, and names that its licences go by, as
+#: words in lower case. Names with no keyword in common have entries of their own under one label.
 FAMILIES = [
-    ("mit", "mit", "mit"),
-    ("mit", "expat", "expat"),
-    ("apache", "apache", "apache(?: software)?"),
-    ("gpl", "g", "gnu gpl|gpl(?:v ?[123])?|(?:gnu )?general public"),
-    ("lgpl", "l", "gnu lgpl|lgpl(?:v ?[23])?|(?:gnu )?(?:lesser|library) general public"),
-    ("agpl", "a", "gnu agpl|agpl(?:v ?3)?|(?:gnu )?affero general public"),
-    ("gfdl", "d", "gfdl|(?:gnu )?free documentation"),
+    ("mit", "mit", "mit"), ("mit", "expat", "expat"), ("apache", "apache", "apache(?: software)?"),
+    ("gpl", "gpl", "gnu gpl|gpl(?:v ?[123])?"), ("gpl", "general public", "(?:gnu )?general public"),
+    ("lgpl", "lgpl", "gnu lgpl|lgpl(?:v ?[23])?"), ("lgpl", "lesser general public", "(?:gnu )?lesser general public"),
+    ("lgpl", "library general public", "(?:gnu )?library general public"),
+    ("agpl", "agpl", "gnu agpl|agpl(?:v ?3)?"), ("agpl", "affero general public", "(?:gnu )?affero general public"),
+    ("gfdl", "gfdl", "gfdl"), ("gfdl", "free documentation", "(?:gnu )?free documentation"),
     ("bsd", "bsd", "(?:[0234] clause |modified |new |simplified |revised )?bsd(?: [0234] clause)?"),
-    ("mpl", "m", "mpl|mozilla public"),
-    ("epl", "e", "epl|eclipse public"),
-    ("edl", "e", "edl|eclipse distribution"),
-    ("cpl", "c", "cpl|common public"),
-    ("cddl", "d", "cddl|common development and distribution"),
-    ("isc", "isc", "isc"),
-    ("zlib", "zlib", "zlib(?: libpng)?"),
-    ("libpng", "png", "libpng|png reference library"),
-    ("unlicense", "unlicense", "the unlicense|unlicense"),
-    ("wtfpl", "wtfpl", "wtfpl"),
+    ("mpl", "mpl", "mpl"), ("mpl", "mozilla public", "mozilla public"), ("epl", "epl", "epl"), ("epl", "eclipse public", "eclipse public"),
+    ("edl", "edl", "edl"), ("edl", "eclipse distribution", "eclipse distribution"), ("cpl", "cpl", "cpl"), ("cpl", "common public", "common public"),
+    ("cddl", "cddl", "cddl"), ("cddl", "common development and distribution", "common development and distribution"),
+    ("isc", "isc", "isc"), ("zlib", "zlib", "zlib(?: libpng)?"), ("libpng", "libpng", "libpng"), ("libpng", "png reference library", "png reference library"),
+    ("unlicense", "unlicense", "the unlicense|unlicense"), ("wtfpl", "wtfpl", "wtfpl"),
     ("wtfpl", "do what the f", "do what the f[a-z]+ you want to public"),
-    ("cc0", "c", "cc0(?: 1 0)?|creative commons zero"),
-    ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd"),
+    ("cc0", "cc0", "cc0(?: 1 0)?"), ("cc0", "creative commons zero", "creative commons zero"), ("cc-by-nc-nd", "cc by nc nd", "cc by nc nd"),
     ("cc-by-nc-nd", "creative commons attribution non", "creative commons attribution non ?commercial no ?deriv[a-z]*"),
     ("cc-by-nc-sa", "cc by nc sa", "cc by nc sa"),
     ("cc-by-nc-sa", "creative commons attribution non", "creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "n", "cc by nc|creative commons attribution non ?commercial"),
-    ("cc-by-nd", "n", "cc by nd|creative commons attribution no ?deriv[a-z]*"),
-    ("cc-by-sa", "s", "cc by sa|creative commons attribution share ?alike"),
-    ("cc-by", "b", "cc by|creative commons attribution"),
-    ("boost", "b", "bsl 1 0|boost software"),
-    ("artistic", "artistic", "(?:perl )?artistic"),
-    ("python", "p", "psf|python software foundation|python"),
-    ("php", "php", "php"),
-    ("ruby", "ruby", "ruby"),
-    ("openssl", "openssl", "openssl"),
-    ("postgresql", "postgre", "postgresql|postgres"),
-    ("ofl", "o", "ofl|(?:sil )?open font"),
-    ("eupl", "eu", "eupl|european union public"),
-    ("osl", "o", "osl|open software"),
-    ("afl", "a", "afl|academic free"),
-    ("ms-pl", "p", "ms pl|microsoft public"),
-    ("ms-rl", "r", "ms rl|microsoft reciprocal"),
-    ("ncsa", "n", "ncsa|university of illinois ncsa open source"),
-    ("upl", "u", "upl|universal permissive"),
-    ("vim", "vim", "vim"),
-    ("w3c", "w3c", "w3c(?: software(?: notice and)?)?"),
-    ("x11", "x11", "x11"),
-    ("x11", "x consortium", "x consortium"),
-    ("zpl", "z", "zpl|zope public"),
-    ("sleepycat", "sleepycat", "sleepycat"),
-    ("beerware", "beer", "beer ?ware"),
-    ("cecill", "cecill", "cecill(?: [abc])?"),
-    ("json", "json", "json"),
-    ("lppl", "l", "lppl|latex project public"),
-    ("odbl", "o", "odbl|open data commons open database|open database"),
-    ("odc-by", "o", "odc by|open data commons attribution"),
-    ("pddl", "p", "pddl|public domain dedication and"),
-    ("nasa", "nasa", "nasa open source"),
-    ("qpl", "q", "qpl|q public"),
-    ("rpl", "r", "rpl|reciprocal public"),
-    ("sspl", "s", "sspl|server side public"),
-    ("busl", "b", "busl|business source"),
-    ("elastic", "elastic", "elastic"),
-    ("proprietary", "proprietary", "proprietary"),
-    ("proprietary", "commercial", "commercial"),
+    ("cc-by-nc", "cc by nc", "cc by nc"), ("cc-by-nc", "creative commons attribution non", "creative commons attribution non ?commercial"),
+    ("cc-by-nd", "cc by nd", "cc by nd"), ("cc-by-nd", "creative commons attribution no", "creative commons attribution no ?deriv[a-z]*"),
+    ("cc-by-sa", "cc by sa", "cc by sa"), ("cc-by-sa", "creative commons attribution share", "creative commons attribution share ?alike"),
+    ("cc-by", "cc by", "cc by"), ("cc-by", "creative commons attribution", "creative commons attribution"),
+    ("boost", "bsl 1 0", "bsl 1 0"), ("boost", "boost software", "boost software"), ("artistic", "artistic", "(?:perl )?artistic"),
+    ("python", "psf", "psf"), ("python", "python", "python(?: software foundation)?"), ("php", "php", "php"), ("ruby", "ruby", "ruby"),
+    ("openssl", "openssl", "openssl"), ("postgresql", "postgres", "postgresql|postgres"), ("ofl", "ofl", "ofl"),
+    ("ofl", "open font", "(?:sil )?open font"), ("eupl", "eupl", "eupl"), ("eupl", "european union public", "european union public"),
+    ("osl", "osl", "osl"), ("osl", "open software", "open software"), ("afl", "afl", "afl"), ("afl", "academic free", "academic free"),
+    ("ms-pl", "ms pl", "ms pl"), ("ms-pl", "microsoft public", "microsoft public"), ("ms-rl", "ms rl", "ms rl"),
+    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal"), ("ncsa", "ncsa", "ncsa|university of illinois ncsa open source"),
+    ("upl", "upl", "upl"), ("upl", "universal permissive", "universal permissive"), ("vim", "vim", "vim"),
+    ("w3c", "w3c", "w3c(?: software(?: notice and)?)?"), ("x11", "x11", "x11"), ("x11", "x consortium", "x consortium"),
+    ("zpl", "zpl", "zpl"), ("zpl", "zope public", "zope public"), ("sleepycat", "sleepycat", "sleepycat"), ("beerware", "beer", "beer ?ware"),
+    ("cecill", "cecill", "cecill(?: [abc])?"), ("json", "json", "json"), ("lppl", "lppl", "lppl"), ("lppl", "latex project public", "latex project public"),
+    ("odbl", "odbl", "odbl"), ("odbl", "open database", "(?:open data commons )?open database"), ("odc-by", "odc by", "odc by"),
+    ("odc-by", "open data commons attribution", "open data commons attribution"), ("pddl", "pddl", "pddl"),
+    ("pddl", "public domain dedication and", "public domain dedication and"), ("nasa", "nasa", "nasa open source"), ("qpl", "qpl", "qpl"),
+    ("qpl", "q public", "q public"), ("rpl", "rpl", "rpl"), ("rpl", "reciprocal public", "reciprocal public"), ("sspl", "sspl", "sspl"),
+    ("sspl", "server side public", "server side public"), ("busl", "busl", "busl"), ("busl", "business source", "business source"),
+    ("elastic", "elastic", "elastic"), ("proprietary", "proprietary", "proprietary"), ("proprietary", "commercial", "commercial"),
 ]
 
 _VERSION = r"(?: version)?(?: v? ?[0-9]+(?: [0-9]+)?)?"
 _TAIL = r"(?: or(?: at your option any)? later(?: versions?)?| only)?"
-#: The signatures of a licence name, by priority; a longer detection hides one in it of no more priority.
+#: What says the name of a licence, by priority; a longer detection hides one in it of no more priority.
 SIGNATURES = [
     ("identifier", 4, r"spdx licen[sc]e identifier (?:NAME)" + _VERSION + _TAIL),
     ("grant", 3, r"(?:re)?licensed (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:NAME)(?: licen[sc]e)?" + _VERSION + _TAIL),
@@ -89,7 +65,7 @@ SIGNATURES = [
     ("field", 2, r"licen[sc]e (?:is )?(?:the )?(?:NAME)" + _VERSION + _TAIL),
     ("name", 1, r"(?:NAME) licen[sc]es?" + _VERSION + _TAIL),
 ]
-WEIGHTS = {1: 0.6, 2: 0.7, 3: 0.9, 4: 1.0}  # what a detection of each priority says for the score; a base place says 0.5
+WEIGHTS = {1: 0.6, 2: 0.7, 3: 0.9, 4: 1.0, 5: 1.0}  # what a detection of each priority says for the score; a base place says 0.5
 
 
 @dataclass(frozen=True)
@@ -101,15 +77,49 @@ class Rule:
     pattern: str
 
 
+def _words(pattern: str) -> str:
+    return f"(?<= )(?:{pattern})(?= )"
+
+
 @lru_cache(1)
-def rules() -> tuple[Rule, ...]:
-    """Every signature for every family, highest priority first."""
-    made = [
-        Rule(label, kind, priority, keyword, f"(?<= )(?:{pattern.replace('NAME', names)})(?= )")
+def named_rules() -> tuple[Rule, ...]:
+    """What says the name of a licence, for every name."""
+    return tuple(
+        Rule(label, kind, priority, keyword, _words(pattern.replace("NAME", names)))
         for kind, priority, pattern in SIGNATURES
         for label, keyword, names in FAMILIES
-    ]
-    return tuple(sorted(made, key=lambda r: -r.priority))
+    )
+
+
+@lru_cache(1)
+def own_rules() -> tuple[Rule, ...]:
+    """The signatures written one by one."""
+    return tuple(
+        Rule(label, kind, PRIORITY[kind], keyword.strip(), _words(pattern)) for label, each in OWN.items() for kind, keyword, pattern in each
+    )
+
+
+@lru_cache(1)
+def rules() -> tuple[Rule, ...]:
+    """Every rule, highest priority first."""
+    return tuple(sorted(named_rules() + own_rules(), key=lambda r: -r.priority))
+
+
+def _by_root() -> Column:
+    """The rules under the roots that open them: one root for all names, that of its keyword for each other rule."""
+    named = set(named_rules())
+    under = {root: [r for r in rules() if (GATE if r in named else root_of(r.keyword)) == root] for root in ROOTS}
+
+    def listed(some: list[Rule]) -> Column:
+        return F.array(*(
+            F.struct(
+                F.lit(r.pattern).alias("pattern"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(r.priority).cast("int").alias("priority"),
+                F.lit(r.label).alias("label"),
+            )
+            for r in some
+        ))
+
+    return F.array(*(F.struct(F.lit(root).alias("root"), listed(some).alias("rules")) for root, some in under.items() if some))
 
 
 def spaced(text: Column) -> Column:
@@ -181,27 +191,24 @@ def _survivors(found: Column) -> Column:
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: words, base places and labels, all labels and a score.
 
-    Each text is brought to words once. Those that hold the gate go on; a rule is run on a text only if its keyword is
-    in it. Detections are sorted by place, and one that lies within another of at least its priority is dropped. The
-    score is that of the best detection that stays, 0.5 with base places alone, 0 with nothing.
+    Each text is brought to words once. Those that hold a root go on, to the rules under the roots they hold; of these a
+    rule is run on a text only if its keyword is in it. Detections are sorted by place, and one that lies within another of
+    at least its priority is dropped. The score is that of the best detection that stays, 0.5 with base places alone, 0 with
+    nothing.
 
     A null or empty text has no words. Very long texts are scanned whole, repeated rows alike. A null id is carried
     along. An empty table gives an empty result. Other columns are ignored. The plan has no shuffle and no join.
     """
-    table = F.array(*(
-        F.struct(
-            F.lit(r.pattern).alias("pattern"), F.lit(r.keyword).alias("keyword"), F.lit(r.priority).cast("int").alias("priority"),
-            F.lit(r.label).alias("label"),
-        )
-        for r in rules()
-    ))
+    table = _by_root()
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), spaced(F.col(text_col)).alias("s"))
     gated = words.select(
         "doc_id", F.when(F.col("s") == "", 0).otherwise(blanks(F.col("s")) + 1).cast("long").alias("n_words"),
-        F.when(F.contains("s", F.lit(GATE)), F.col("s")).alias("s"),
+        F.when(F.exists(table, lambda g: F.contains(F.col("s"), g["root"])), F.col("s")).alias("s"),
     )
-    split = gated.select("doc_id", "n_words", F.concat(F.lit(" "), "s", F.lit(" ")).alias("text"), F.split("s", " ").alias("words"))
-    active = F.filter(table, lambda r: F.contains(F.col("text"), r["keyword"]))
+    licence = F.when(F.contains("s", F.lit(GATE)), F.split("s", " "))
+    split = gated.select("doc_id", "n_words", F.concat(F.lit(" "), "s", F.lit(" ")).alias("text"), licence.alias("words"))
+    under = F.flatten(F.transform(F.filter(table, lambda g: F.contains(F.col("text"), g["root"])), lambda g: g["rules"]))
+    active = F.filter(under, lambda r: F.contains(F.col("text"), r["keyword"]))
     found = F.when(F.col("text").isNotNull(), F.flatten(F.transform(active, lambda r: _detections(F.col("text"), r))))
     hits = split.select("doc_id", "n_words", base_places(F.col("words")).alias("base"), found.alias("found"))
     kept = hits.select("doc_id", "n_words", "base", _survivors(F.col("found")).alias("kept"))

@@ -6,6 +6,7 @@ from tests.llm import data
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+RULES = [(r, re.compile(r.pattern)) for r in licenses.rules()]
 
 
 def plain(text):
@@ -13,11 +14,10 @@ def plain(text):
     places = [(i, label) for i in range(len(words)) for p, label in PHRASES.items() if tuple(words[i : i + len(p)]) == p]
     joined = f" {' '.join(words)} "
     found = []
-    for r in licenses.rules():
-        if "licen" in joined and r.keyword in joined:
-            for m in re.finditer(r.pattern, joined):
-                start = joined.count(" ", 0, m.start()) - 1
-                found.append((start, start + m.group().count(" "), r.priority, r.label))
+    for r, pattern in RULES:
+        for m in pattern.finditer(joined):  # no gate at all
+            start = joined.count(" ", 0, m.start()) - 1
+            found.append((start, start + m.group().count(" "), r.priority, r.label))
     found.sort(key=lambda x: (x[0], -x[1], -x[2]))
     kept = [x for k, x in enumerate(found) if not any(y[1] >= x[1] and y[2] >= x[2] for y in found[:k])]
     base = {label for _, label in places}
