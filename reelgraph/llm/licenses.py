@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -110,16 +111,12 @@ def _by_root() -> Column:
     named = set(named_rules())
     under = {root: [r for r in rules() if (GATE if r in named else root_of(r.keyword)) == root] for root in ROOTS}
 
-    def listed(some: list[Rule]) -> Column:
-        return F.array(*(
-            F.struct(
-                F.lit(r.pattern).alias("pattern"), F.lit(f" {r.keyword}").alias("keyword"), F.lit(r.priority).cast("int").alias("priority"),
-                F.lit(r.label).alias("label"),
-            )
-            for r in some
-        ))
-
-    return F.array(*(F.struct(F.lit(root).alias("root"), listed(some).alias("rules")) for root, some in under.items() if some))
+    groups = [
+        {"root": root, "rules": [{"pattern": r.pattern, "keyword": f" {r.keyword}", "priority": r.priority, "label": r.label} for r in some]}
+        for root, some in under.items() if some
+    ]
+    kind = "array<struct<root string, rules array<struct<pattern string, keyword string, priority int, label string>>>>"
+    return F.from_json(F.lit(json.dumps(groups)), kind)  # one constant; rules as columns of their own would take seconds to plan
 
 
 def spaced(text: Column) -> Column:
