@@ -42,6 +42,12 @@ def test_order_is_by_rejections_per_cost(spark):
     assert [r.name for r in rules.ordered(data.documents(spark), (slow, quick))] == ["quick", "slow"]
 
 
+def test_the_sample_comes_from_all_rows(spark):
+    texts = spark.range(0, 20_000, 1, 4).selectExpr("if(id < 15000, 'x', 'y') AS text")
+    ((name, _, share),) = rules.estimates(texts, (rules.Rule("late", lambda d: d.text == "y"),))
+    assert name == "late" and 0.2 < share < 0.3
+
+
 def test_short_circuit():
     asked = []
     cascade = (rules.Rule("a", lambda d: True), rules.Rule("b", lambda d: asked.append(1)))
